@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe
+from tessellis.llm import bpe, quality
 from tessellis.llm.common import written
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
@@ -19,6 +23,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 STAGES: list[Stage] = [
+    ("quality_rules", good_documents),
     ("byte_bpe", tokens),
 ]
 

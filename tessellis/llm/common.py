@@ -39,4 +39,5 @@ def ascii_lower(column):
 
 def words_of(column):
     """The maximal runs of characters other than ASCII white space; none for a null."""
-    return F.filter(F.split(F.coalesce(column, F.lit("")), f"[{SPACE}]+"), lambda w: w != "")
+    trimmed = F.btrim(column, F.lit("\t\n\x0b\x0c\r "))
+    return F.when(F.coalesce(trimmed, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE}]+"))
