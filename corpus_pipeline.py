@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, quality
+from tessellis.llm import bpe, linededup, quality
 from tessellis.llm.common import written
 
 
@@ -15,6 +15,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
@@ -24,6 +28,7 @@ Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 
 STAGES: list[Stage] = [
     ("quality_rules", good_documents),
+    ("line_dedup", fresh_lines),
     ("byte_bpe", tokens),
 ]
 

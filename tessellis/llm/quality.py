@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessellis.llm.common import words_of
+from tessellis.llm.common import free_name, words_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
@@ -28,13 +28,6 @@ MAX_TRUSTED = 1_000_000
 _LOW = (1 << 31) - 1
 
 
-def _free(df: DataFrame, name: str) -> str:
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name = f"_{name}"
-    return name
-
-
 def _without(column: Column, characters: str) -> Column:
     return F.translate(column, characters, "")
 
@@ -104,7 +97,7 @@ def log_ratios(df: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
 
 def with_quality(df: DataFrame, ratios: list[float], text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, str]:
     """``df`` with one struct column, and its name: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept."""
-    name, words, wide, keyed, at = (_free(df, x) for x in ("quality_rules", "rules_words", "rules_windows", "rules_keyed", "rules_at"))
+    name, words, wide, keyed, at = (free_name(df, x) for x in ("quality_rules", "rules_words", "rules_windows", "rules_keyed", "rules_at"))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     text = F.coalesce(df[text_col], F.lit(""))
     out = df.withColumn(words, words_of(df[text_col]))
