@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, linededup, quality
+from tessellis.llm import bpe, jaccard, linededup, quality
 from tessellis.llm.common import written
 
 
@@ -19,6 +19,10 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
@@ -29,6 +33,7 @@ Stage = tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]
 STAGES: list[Stage] = [
     ("quality_rules", good_documents),
     ("line_dedup", fresh_lines),
+    ("jaccard_join", distinct_documents),
     ("byte_bpe", tokens),
 ]
 

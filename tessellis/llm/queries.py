@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, chat, linededup, quality, sharding, warc
+from tessellis.llm import bpe, chat, jaccard, linededup, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op8_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc_archives": op8_warc_archives,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
 }
 
@@ -53,5 +58,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_slot_table": sharding.ORACLE,
     "op2_perspectives": chat.ORACLE,
     "op8_warc_archives": warc.ORACLE,
+    "op9_jaccard_join": jaccard.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
