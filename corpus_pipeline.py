@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, jaccard, linededup, quality
+from tessellis.llm import bpe, decontamination, jaccard, linededup, quality
 from tessellis.llm.common import written
 
 
@@ -23,6 +23,10 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return jaccard.keep_one(docs)
 
 
+def unleaked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(docs, path, public_tokenizers.PATTERN)
@@ -34,6 +38,7 @@ STAGES: list[Stage] = [
     ("quality_rules", good_documents),
     ("line_dedup", fresh_lines),
     ("jaccard_join", distinct_documents),
+    ("item_containment", unleaked_documents),
     ("byte_bpe", tokens),
 ]
 

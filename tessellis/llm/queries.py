@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, chat, jaccard, linededup, quality, sharding, warc
+from tessellis.llm import bpe, chat, decontamination, jaccard, linededup, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_item_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.token_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_table": op1_slot_table,
     "op2_perspectives": op2_perspectives,
     "op3_quality_rules": op3_quality_rules,
+    "op6_item_containment": op6_item_containment,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_warc_archives": op8_warc_archives,
     "op9_jaccard_join": op9_jaccard_join,
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_slot_table": sharding.ORACLE,
     "op2_perspectives": chat.ORACLE,
+    "op6_item_containment": decontamination.ORACLE,
     "op8_warc_archives": warc.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
