@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, chat, decontamination, html, jaccard, linededup, quality, sharding, warc
+from tessellis.llm import bpe, chat, decontamination, html, jaccard, linededup, quality, repeats, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
+
+
 def op5_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_table": op1_slot_table,
     "op2_perspectives": op2_perspectives,
     "op3_quality_rules": op3_quality_rules,
+    "op4_repeated_strings": op4_repeated_strings,
     "op5_site_templates": op5_site_templates,
     "op6_item_containment": op6_item_containment,
     "op7_byte_bpe": op7_byte_bpe,
