@@ -27,7 +27,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     indicator = F.concat(F.lit("IND-"), (F.col("l_partkey") % 6).cast("string"))
     iso3 = F.upper(F.substring("n_name", 1, 3))
     return joined.select(
-        (((F.col("l_orderkey") * 10 + number) * 100_000 + F.col("l_partkey") % 100_000) * 1_000 + F.col("l_suppkey") % 1_000).cast("bigint").alias("fact_id"),
+        ((F.col("l_orderkey") * 10 + number) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("fact_id"),
         F.col("l_orderkey").cast("string").alias("document_id"),
         F.col("n_name").alias("country"),
         iso3.alias("iso3"),
@@ -54,7 +54,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACTS_SQL = """
 facts AS (
-  SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey % 100000) * 1000 + l_suppkey % 1000)::BIGINT AS fact_id, l_orderkey::VARCHAR AS document_id, n_name AS country, upper(substr(n_name, 1, 3)) AS iso3,
+  SELECT (l_orderkey * 10 + l_linenumber)::BIGINT * 100000000 + round(l_extendedprice * 100)::BIGINT AS fact_id, l_orderkey::VARCHAR AS document_id, n_name AS country, upper(substr(n_name, 1, 3)) AS iso3,
     'IND-' || (l_partkey % 6) AS indicator,
     upper(substr(n_name, 1, 3)) || ':' || 'IND-' || (l_partkey % 6) || ':' || upper(substr(sha1(
       CASE WHEN l_linestatus = 'F' THEN '%' ELSE '' END || '|' || CASE WHEN l_linestatus = 'O' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'million' ELSE 'milliard' END ELSE '' END
