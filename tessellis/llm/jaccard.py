@@ -1,13 +1,16 @@
 """N-gram Jaccard join: exact components of documents whose word-shingle sets have a similarity of at least 4/5.
 
-1. Every text becomes its set of hashed five-word shingles; equal sets are one class, known by a 64-bit key.
+1. Every text becomes its set of hashed five-word shingles; equal sets are one class, known by a 64-bit key, with its
+   size and a sketch: for each of 512 parts of the feature domain, whether the class has an odd number of shingles
+   there. Two classes differ in at least as many shingles as their sketches in bits.
 2. Classes emit PartEnum signatures, dealt out by signature. Only signatures that two classes share go on.
-3. In each signature's group every class is compared with one pivot, the class with the most neighbours: as many
-   comparisons as members. The links found give first components.
-4. A group that still has several components may hide links between members other than the pivot. Its classes
-   are kept if enough of their shingles occur in another such class; members of different components are then
-   compared unless their sizes, their shared shingles or their distances to the pivot (a metric) rule it out.
-   Links found join components. So no pair that could link is left out, and no group is paired up whole.
+3. In each signature's group every class is paired with one pivot, the class with the most neighbours: as many pairs
+   as members. Pairs whose sizes or sketches rule a link out go, the others are compared on their shingles. The links
+   found give first components.
+4. A group that still has several components may hide links between members other than the pivot: its members of
+   different components are paired. In large groups a class must first have enough shingles that occur in another such
+   class, else it can have no link. Sizes and sketches rule pairs out as before, the others are compared. So no pair
+   that could link is left out, and no group is paired up whole.
 
 Words are lower-cased in A-Z. A null or empty text has no set and is linked with nothing. A text under five words
 is one shingle. Rows that repeat an id keep their own sets, and a null id can be a component's name only if all of
@@ -20,30 +23,39 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellis.llm.common import id_and_text, written
 from tessellis.llm.components import connected_components
 from tessellis.llm.partenum import signatures
-from tessellis.llm.shingles import set_key, shingle_sets
+from tessellis.llm.shingles import mixed, set_key, shingle_sets
 
 #: Common shingles only steer which signatures are left out: those in at least COMMON_DOCS of SAMPLE_DOCS documents.
 SAMPLE_DOCS, COMMON_DOCS, MAX_COMMON = 8_000, 6, 200_000
 #: Up to so many ids are broadcast (32 MB as a hash table), more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: In open groups of more classes than this, unlikely classes are sorted out before classes are paired.
+SMALL_GROUP = 32
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    """The parity of the number of elements in each of 512 parts of the domain, as eight longs."""
+    odd = np.bincount((mixed(values ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _members(base: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node): the size of every row's set and its class, null for an empty set."""
+    """(row, doc_id, n_shingles, node, sketch): the size of every row's set, its class (null for an empty set) and sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = list(shingle_sets(batch["text"].tolist()))
             nodes = pd.array([set_key(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes, "sketch": [sketch(s) for s in sets]})
 
-    return base.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {base.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    kind = base.schema["doc_id"].dataType.simpleString()
+    return base.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, n_shingles long, node long, sketch array<long>")
 
 
 def _common_shingles(base: DataFrame, docs: int = SAMPLE_DOCS) -> np.ndarray:
@@ -114,49 +126,67 @@ def _sets(base: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = list(shingle_sets(batch["text"].tolist()))
             yield pd.DataFrame({"node": [set_key(s) for s in sets], "size": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    return _by_ids(base.select("row", "text"), rows, "row").select("text").mapInPandas(run, "node long, size long, shingles array<long>")
+    found = _by_ids(base.select("row", "text"), rows, "row").select("text").mapInPandas(run, "node long, size long, shingles array<long>")
+    return found.dropDuplicates(["node"])
+
+
+def _side(classes: DataFrame, s: str) -> DataFrame:
+    return classes.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}"))
+
+
+def _possible() -> Column:
+    """Whether a link of sides a and b is within the bounds of their sizes and sketches."""
+    bits = F.lit(0)
+    for k in range(8):
+        bits = bits + F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k]))
+    near = (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
+    return near & (9 * bits <= F.col("size_a") + F.col("size_b"))
 
 
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, shared, total): how many shingles the classes of each pair share and have together."""
+def _links(base: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that share at least 4/5 of their shingles."""
+    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(_sets(base, members, nodes), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("size").alias("_na"), F.col("shingles").alias("_sa"))
     right = sets.select(F.col("node").alias("b"), F.col("size").alias("_nb"), F.col("shingles").alias("_sb"))
-    shared = F.size(F.array_intersect("_sa", "_sb")).cast("long")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", shared.alias("shared"), (F.col("_na") + F.col("_nb") - shared).alias("total"))
+    shared = F.size(F.array_intersect("_sa", "_sb"))
+    joined = pairs.join(left, "a").join(right, "b")
+    return written(joined.filter(shared * 5 >= (F.col("_na") + F.col("_nb") - shared) * 4).select("a", "b"), "links")
 
 
-def _first_pairs(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The candidates with their group's pivot, and the distinct pairs (a, b) of pivot and member."""
+def _with_pivots(candidates: DataFrame) -> DataFrame:
+    """(sig, node, n, pivot): the pivot of a group is its class with the most neighbours over all groups."""
     degree = candidates.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = candidates.join(degree, "node")
-    pivots = ranked.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("top")).select("sig", F.col("top.node").alias("pivot"))
-    grouped = written(candidates.select("sig", "node").join(pivots, "sig"), "pivots")
-    return grouped, grouped.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pivots = candidates.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("top"))
+    return candidates.join(pivots.select("sig", F.col("top.node").alias("pivot")), "sig")
 
 
-def _hidden_pairs(grouped: DataFrame, first: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of the groups that have several components."""
+    several = rows.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high")
+    return rows.join(several.select("sig"), "sig", "left_semi")
+
+
+def _likely(base: DataFrame, members: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the classes that have at least 4/5 of their shingles in common with other classes of ``rows``."""
+    each = _sets(base, members, rows.select("node").distinct()).select("node", "size", F.explode("shingles").alias("h"))
+    each = written(each, "open-shingles")
+    twice = each.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1").select("h")
+    known = each.join(twice, "h").groupBy("node").agg(F.first("size").alias("_size"), F.count("*").alias("_known"))
+    return rows.join(known.filter("5 * _known >= 4 * _size").select("node"), "node", "left_semi")
+
+
+def _hidden_pairs(base: DataFrame, members: DataFrame, classes: DataFrame, grouped: DataFrame, components: DataFrame) -> DataFrame:
     """Pairs of different components that share a signature and that no bound rules out."""
     placed = grouped.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-    def open_groups(rows: DataFrame) -> DataFrame:
-        several = rows.groupBy("sig").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high")
-        return rows.join(several.select("sig"), "sig", "left_semi")
-
-    left = written(open_groups(placed), "open-groups")
-    inside = sets.join(left.select("node").distinct(), "node", "left_semi")
-    each = inside.select("node", "size", F.explode("shingles").alias("h"))
-    twice = each.groupBy("h").agg(F.count("*").alias("_n")).filter("_n > 1")
-    known = each.join(twice, "h").groupBy("node").agg(F.first("size").alias("size"), F.count("*").alias("known"))
-    likely = written(known.filter(F.col("known") * 5 >= F.col("size") * 4), "likely-classes")
-    distance = first.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / F.col("total")).alias("far"))
-    rows = open_groups(left.join(likely, "node")).join(distance, ["pivot", "node"], "left")
-    rows = written(rows.withColumn("far", F.coalesce("far", F.lit(0.0))), "hidden-rows")
-    a, b = (rows.select("sig", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", "known", "far"))) for s in "ab")
-    need = 4 * (F.col("size_a") + F.col("size_b"))
-    fits = (9 * F.col("known_a") >= need) & (9 * F.col("known_b") >= need) & (5 * F.col("size_a") >= 4 * F.col("size_b")) & (5 * F.col("size_b") >= 4 * F.col("size_a"))
-    near = F.abs(F.col("far_a") - F.col("far_b")) <= 0.2 + 1e-9
-    joined = a.join(b, "sig").filter((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & fits & near)
-    return joined.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rows = written(_open(placed), "open-groups")
+    large = rows.filter(F.col("n") > SMALL_GROUP)
+    if not large.isEmpty():
+        rows = written(_open(_likely(base, members, large)).unionByName(rows.filter(F.col("n") <= SMALL_GROUP)), "open-groups")
+    rows = written(rows.select("sig", "node", "component").join(classes, "node"), "open-rows")
+    a, b = (rows.select("sig", F.col("node").alias(s), F.col("component").alias(f"component_{s}"), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+    return a.join(b, "sig").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _possible()).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,14 +195,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
     members = written(_members(base), "members")
     candidates = written(_candidates(base), "candidates")
-    grouped, pairs = _first_pairs(candidates)
-    sets = written(_sets(base, members, candidates.select("node").distinct()), "sets")
-    first = written(_compared(pairs, sets), "first-pairs")
-    linked = lambda rows: rows.filter(F.col("shared") * 5 >= F.col("total") * 4).select("a", "b")
-    links = written(linked(first), "links")
-    hidden = _hidden_pairs(grouped, first, connected_components(links), sets)
-    components = connected_components(links.unionByName(linked(_compared(hidden, sets))))
-    placed = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = written(_with_pivots(candidates), "pivots")
+    inside = members.join(candidates.select("node").distinct(), "node", "left_semi")
+    classes = written(inside.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
+    star = grouped.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = _links(base, members, star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible()))
+    hidden = _hidden_pairs(base, members, classes, grouped, connected_components(links))
+    components = connected_components(links.unionByName(_links(base, members, hidden)))
+    placed = members.drop("sketch").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     named = placed.join(names, "component", "left")
     return named.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
