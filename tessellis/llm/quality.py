@@ -22,7 +22,7 @@ from tessellis.llm.common import free_name, words_of
 SYMBOLS = "#*$%&|<>"
 BLANKS = "\t\n\x0b\x0c\r "
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-BUCKETS, PRIOR, THRESHOLD = 8192, 4.0, -0.04
+BUCKETS, PRIOR, THRESHOLD = 8192, 16.0, -0.05
 #: At most so many trusted documents make the trusted counts, chosen by a hash of their ids; they fit any executor.
 MAX_TRUSTED = 1_000_000
 _LOW = (1 << 31) - 1
