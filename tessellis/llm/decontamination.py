@@ -71,7 +71,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that contain no item, with their columns as they were."""
     bad = written(contained_items(docs, items, id_col, text_col).select(F.col("doc_row").alias("_row")).distinct(), "leaking")
-    return docs.join(_small(bad, BROADCAST_IDS), F.xxhash64(docs[id_col], docs[text_col]) == F.col("_row"), "left_anti")
+    return docs.join(_small(bad, BROADCAST_IDS), F.xxhash64(docs[id_col], docs[text_col]) == bad["_row"], "left_anti")
 
 
 ORACLE = r"""

@@ -31,8 +31,8 @@ from tessellis.llm.components import connected_components
 from tessellis.llm.partenum import signatures
 from tessellis.llm.shingles import mixed, set_key, shingle_sets
 
-#: Common shingles only steer which signatures are left out: those in at least COMMON_DOCS of SAMPLE_DOCS documents.
-SAMPLE_DOCS, COMMON_DOCS, MAX_COMMON = 8_000, 6, 200_000
+#: Common shingles only steer which signatures are left out: those in at least COMMON_DOCS of a sample of SAMPLE_DOCS.
+SAMPLE_DOCS, COMMON_DOCS, MAX_COMMON = 64_000, 5, 200_000
 #: Up to so many ids are broadcast (32 MB as a hash table), more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: In open groups of more classes than this, unlikely classes are sorted out before classes are paired.
@@ -50,27 +50,29 @@ def _members(base: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(batch["text"].tolist()))
-            nodes = pd.array([set_key(s) if len(s) else None for s in sets], "Int64")
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "node": nodes, "sketch": [sketch(s) for s in sets]})
+            made = [(len(s), set_key(s) if len(s) else None, sketch(s)) for s in shingle_sets(batch["text"].tolist())]
+            sizes, nodes, sketches = zip(*made, strict=True) if made else ((), (), ())
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "n_shingles": list(sizes), "node": pd.array(nodes, "Int64"), "sketch": list(sketches)})
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.select("row", "doc_id", "text").mapInPandas(run, f"row long, doc_id {kind}, n_shingles long, node long, sketch array<long>")
 
 
 def _common_shingles(base: DataFrame, docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """Sorted hashes that many documents of a sample have: at most ``docs`` documents and MAX_COMMON hashes."""
-    there = base.count()
-    every = max(1, there // docs)
+    """Sorted hashes that several documents of a sample have: of about ``docs`` documents, MAX_COMMON hashes at most.
+
+    Only hashes that come twice in a batch of the sample are counted further, so little is shuffled.
+    """
+    every = max(1, base.count() // docs)
     sample = base.filter(F.pmod(F.col("row"), F.lit(every)) == 0).select("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = list(shingle_sets(batch["text"].tolist()))
-            yield pd.DataFrame({"h": np.concatenate([*sets, np.empty(0, np.uint64)]).view(np.int64)})
+            values, counts = np.unique(np.concatenate([*shingle_sets(batch["text"].tolist()), np.empty(0, np.uint64)]), return_counts=True)
+            yield pd.DataFrame({"h": values[counts > 1].view(np.int64), "n": counts[counts > 1]})
 
-    counted = sample.mapInPandas(run, "h long").groupBy("h").count().filter(F.col("count") >= COMMON_DOCS)
-    rows = counted.orderBy(F.desc("count"), "h").limit(MAX_COMMON).collect()
+    counted = sample.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_DOCS)
+    rows = counted.orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -213,7 +215,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = near_duplicates(df, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_row")).distinct()
     gone = written(found, "near-copies")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return df.join(few, F.xxhash64(df[id_col], df[text_col]) == F.col("_row"), "left_anti")
+    return df.join(few, F.xxhash64(df[id_col], df[text_col]) == gone["_row"], "left_anti")
 
 
 ORACLE = r"""

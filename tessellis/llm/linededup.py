@@ -104,9 +104,9 @@ def with_kept_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = gone.select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version"), "_at")
     joined = df.join(gone, df[id_col].eqNullSafe(gone["_doc"]) & (F.xxhash64(df[text_col]) == gone["_version"]), "left")
     lines = _lines(df[text_col])
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_at"))
-    text = F.when(F.col("_at").isNull(), F.coalesce(df[text_col], F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    dropped = F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone["_at"])
+    text = F.when(gone["_at"].isNull(), F.coalesce(df[text_col], F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    dropped = F.when(gone["_at"].isNull(), 0).otherwise(F.size(gone["_at"]))
     values = F.struct(F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), text.alias("text"))
     return joined.select(*(df[c] for c in df.columns), values.alias(name)), name
 

@@ -63,16 +63,16 @@ def assign_shards(df: DataFrame, key_col: str, names: list[str], slots: int = SL
     columns, in as many parts as keep each part near ``hot_rows``: so no shard takes a hot key whole. Keys are counted
     before anything else moves. Null keys share one slot, repeated rows share theirs, an empty table stays empty.
     """
-    slot, shard = free_name(df, "slot"), free_name(df, "shard")
-    table = F.broadcast(lookup_table(df.sparkSession, names, slots).select(F.col("slot").alias("_slot"), F.col("shard").alias(shard)))
+    slot, shard, entry, hot, rows = (free_name(df, name) for name in ("slot", "shard", "table_slot", "hot_key", "key_rows"))
+    table = F.broadcast(lookup_table(df.sparkSession, names, slots).select(F.col("slot").alias(entry), F.col("shard").alias(shard)))
     key, placed, columns = df[key_col], df, [*df.columns]
     if spread_by:
-        counts = df.groupBy(df[key_col].alias("_hot")).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-        placed = df.join(counts, df[key_col].eqNullSafe(counts["_hot"]), "left")
-        part = F.pmod(F.xxhash64(*(df[c] for c in spread_by)), F.ceil(F.col("_rows") / hot_rows))
-        key = F.when(F.col("_rows").isNull(), key.cast("string")).otherwise(F.concat_ws("\x01", key.cast("string"), part.cast("string")))
+        counts = df.groupBy(df[key_col].alias(hot)).agg(F.count("*").alias(rows)).filter(F.col(rows) > hot_rows)
+        placed = df.join(counts, F.col(key_col).eqNullSafe(F.col(hot)), "left")
+        part = F.pmod(F.xxhash64(*spread_by), F.ceil(F.col(rows) / hot_rows))
+        key = F.when(F.col(rows).isNull(), F.col(key_col).cast("string")).otherwise(F.concat_ws("\x01", F.col(key_col).cast("string"), part.cast("string")))
     placed = placed.withColumn(slot, slot_of(key, slots))
-    return placed.join(table, placed[slot] == F.col("_slot")).select(*columns, slot, shard)
+    return placed.join(table, F.col(slot) == F.col(entry)).select(*columns, slot, shard)
 
 
 def shard_names(count: int = SHARDS) -> list[str]:
