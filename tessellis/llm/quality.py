@@ -118,7 +118,8 @@ def with_quality(df: DataFrame, ratios: list[float], text_col: str = "text", thr
         repeat.alias("n_repeat_words"),
         score.alias("score"),
     )
-    out = out.withColumn(name, values).drop(words, wide, keyed, at)
+    # no filter on the values moves below a generator: else they would be worked out inside their own lambdas, word by word
+    out = out.withColumn(name, F.explode(F.array(values))).drop(words, wide, keyed, at)
     failed = (F.col(f"{name}.n_words") < MIN_WORDS) | (100 * F.col(f"{name}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{name}.n_words"))
     out = out.withColumn(name, F.col(name).withField("base_failed", failed).withField("kept", ~failed & (F.col(f"{name}.score") >= threshold)))
     return out, name
