@@ -35,6 +35,8 @@ from tessellis.llm.shingles import mixed, set_key, shingle_sets
 SAMPLE_DOCS, COMMON_DOCS, MAX_COMMON = 64_000, 5, 200_000
 #: Up to so many ids are broadcast (32 MB as a hash table), more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Up to so many classes are broadcast with their sketches (some 40 MB), more are joined by shuffle.
+BROADCAST_CLASSES = 250_000
 #: In open groups of more classes than this, unlikely classes are sorted out before classes are paired.
 SMALL_GROUP = 32
 
@@ -120,7 +122,7 @@ def _by_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
 
 
 def _sets(base: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, size, shingles) of the classes in ``nodes``, from the text of one of their rows."""
+    """(node, size, shingles) of the classes in ``nodes``, from the text of one of their rows (once for each repeat of that row)."""
     rows = written(members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "set-rows").select("row")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,8 +130,7 @@ def _sets(base: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
             sets = list(shingle_sets(batch["text"].tolist()))
             yield pd.DataFrame({"node": [set_key(s) for s in sets], "size": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets]})
 
-    found = _by_ids(base.select("row", "text"), rows, "row").select("text").mapInPandas(run, "node long, size long, shingles array<long>")
-    return found.dropDuplicates(["node"])
+    return _by_ids(base.select("row", "text"), rows, "row").select("text").mapInPandas(run, "node long, size long, shingles array<long>")
 
 
 def _side(classes: DataFrame, s: str) -> DataFrame:
@@ -150,8 +151,9 @@ def _links(base: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
     pairs = written(pairs.select("a", "b").distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(_sets(base, members, nodes), "sets")
-    left = sets.select(F.col("node").alias("a"), F.col("size").alias("_na"), F.col("shingles").alias("_sa"))
-    right = sets.select(F.col("node").alias("b"), F.col("size").alias("_nb"), F.col("shingles").alias("_sb"))
+    side = lambda c: _by_ids(sets, pairs.select(F.col(c).alias("node")).distinct(), "node")
+    left = side("a").select(F.col("node").alias("a"), F.col("size").alias("_na"), F.col("shingles").alias("_sa"))
+    right = side("b").select(F.col("node").alias("b"), F.col("size").alias("_nb"), F.col("shingles").alias("_sb"))
     shared = F.size(F.array_intersect("_sa", "_sb"))
     joined = pairs.join(left, "a").join(right, "b")
     return written(joined.filter(shared * 5 >= (F.col("_na") + F.col("_nb") - shared) * 4).select("a", "b"), "links")
@@ -200,7 +202,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grouped = written(_with_pivots(candidates), "pivots")
     inside = members.join(candidates.select("node").distinct(), "node", "left_semi")
     classes = written(inside.groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "classes")
-    star = grouped.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    if classes.count() <= BROADCAST_CLASSES:
+        classes = F.broadcast(classes)
+    star = grouped.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     links = _links(base, members, star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible()))
     hidden = _hidden_pairs(base, members, classes, grouped, connected_components(links))
     components = connected_components(links.unionByName(_links(base, members, hidden)))

@@ -141,6 +141,8 @@ def frames(content: bytes) -> Iterator[bytes]:
             raise ValueError(f"no frame starts at byte {at}")
         make = make or zstandard.ZstdDecompressor()
         end = _frame_end(data, at)
+        if end > len(data):
+            raise ValueError("the archive ends within a frame")
         yield make.decompressobj().decompress(data[at:end])
         at = end
 
