@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessellis.functions import codes, text
-from tessellis.operators import extraction, lexicon, segment, tables, topics
-from tessellis.plans.adapters import table
+from tessellis.operators import consistency, extraction, lexicon, segment, tables, topics
+from tessellis.plans.adapters import facts, table
 from tessellis.plans.catalog import query
 from tessellis.sources import ingest
 
@@ -16,6 +17,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as extraction reads it."""
+    return _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), text.title_line(F.col("text")).alias("title"), "text")
+
+
 WORDS_ORACLE = r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_\x{200C}\x{200D}\x{0600}-\x{06FF}]+')) AS n_words FROM documents"
 
 
@@ -199,12 +205,12 @@ def currency_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.extract_facts(spark.createDataFrame(extraction.EXAMPLES, "document_id string, title string, text string"))
+    return extraction.extract_facts(_titled(spark, sf_dir))
 
 
 @query()
 def numeric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extraction.numeric_coverage(spark.createDataFrame(extraction.EXAMPLES, "document_id string, title string, text string"))
+    return extraction.numeric_coverage(_titled(spark, sf_dir))
 
 
 @query()
@@ -216,3 +222,159 @@ def topic_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.similarity(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", topics.descriptions(spark))
+
+
+# The operators of the literal rows above, over whole tables.
+
+_MENTIONS_SQL = (
+    "names(kind, alias, code) AS (VALUES "
+    + ", ".join([f"('country', '{a}', '{code}')" for a, (_, code) in lexicon.COUNTRIES.items()] + [f"('indicator', '{a}', '{code}')" for a, code in lexicon.INDICATORS.items()])
+    + r"""),
+w AS (SELECT doc_id, list_filter(string_split_regex(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+a AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS "at" FROM w),
+g AS (SELECT doc_id, "at", n AS length, array_to_string(w["at":"at" + n - 1], ' ') AS gram FROM a, range(1, 5) t(n) WHERE "at" + n - 1 <= len(w)),
+h AS (SELECT doc_id, kind, code, "at", length, max("at" + length) OVER (PARTITION BY doc_id, kind ORDER BY "at", length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM g JOIN names ON gram = alias),
+found AS (SELECT doc_id, kind, code, "at" FROM h WHERE ended IS NULL OR "at" + length > ended)"""
+)
+
+
+@query("WITH " + _MENTIONS_SQL + " SELECT * FROM found")
+def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator and country that a document names, with its place."""
+    rows = _documents(spark, sf_dir)
+    parts = [lexicon.mentions(rows, ["doc_id"], "text", names).select("doc_id", F.lit(kind).alias("kind"), "code", F.col("at").cast("long").alias("at")) for kind, names in (("country", lexicon.country_names(spark)), ("indicator", lexicon.indicator_names(spark)))]
+    return parts[0].unionAll(parts[1])
+
+
+_OWN_SQL = "CASE iso3 " + " ".join(f"WHEN '{c}' THEN '{money}'" for c, money in lexicon.CURRENCIES.items()) + " END"
+_MATCHING_SQL = ", ".join(f"CASE WHEN list_contains(w, '{name}') AND own IN ({', '.join(repr(x) for x in known)}) THEN own END" for name, known in lexicon.DENOMINATIONS.items())
+_SINGLE_SQL = ", ".join(f"CASE WHEN list_contains(w, '{name}') THEN '{known[0]}' END" for name, known in lexicon.DENOMINATIONS.items() if len(known) == 1)
+
+
+@query(
+    "WITH " + _MENTIONS_SQL + ", first AS (SELECT doc_id, arg_min(code, \"at\") AS iso3 FROM found WHERE kind = 'country' GROUP BY doc_id), "
+    + r"c AS (SELECT doc_id, w, iso3, " + _OWN_SQL + r" AS own, nullif(regexp_extract(text, '(^|[^\p{L}\p{N}_])(" + "|".join(sorted(set(lexicon.CURRENCIES.values()))) + r")($|[^\p{L}\p{N}_])', 2), '') AS stated FROM documents JOIN w USING (doc_id) LEFT JOIN first USING (doc_id)) "
+    + f"SELECT doc_id, iso3, coalesce(stated, {_MATCHING_SQL}, {_SINGLE_SQL}) AS currency FROM c"
+)
+def document_currencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The currency of every document, its country being the first it names."""
+    rows = _documents(spark, sf_dir)
+    first = lexicon.mentions(rows, ["doc_id"], "text", lexicon.country_names(spark)).groupBy("doc_id").agg(F.min_by("code", "at").alias("iso3"))
+    return rows.join(first, "doc_id", "left").select("doc_id", "iso3", lexicon.currency_of(F.col("text"), F.col("iso3")).alias("currency"))
+
+
+LINE = ["l_orderkey", "l_linenumber"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice AS price, round(l_discount * 100) AS discount FROM lineitem")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices printed in four ways, by line number, and discounts in percent, read again."""
+    english = F.format_number("l_extendedprice", 2)
+    form = F.pmod("l_linenumber", F.lit(4))
+    price = F.when(form == 0, english).when(form == 1, F.translate(english, ",.", " ,")).when(form == 2, F.translate(english, ",.", ".,")).otherwise(F.replace(english, F.lit(","), F.lit("")))
+    percent = F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(" %"))
+    return table(spark, sf_dir, "lineitem").select(*LINE, text.parse_number(price).alias("price"), text.parse_number(percent).alias("discount"))
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, year(l_shipdate)::INT AS year, CASE WHEN l_linenumber % 4 = 1 THEN year(l_shipdate)::INT + 1 END AS last_year, CASE WHEN l_linenumber % 4 = 2 THEN quarter(l_shipdate)::INT END AS quarter,
+  CASE WHEN l_linenumber % 4 = 3 THEN month(l_shipdate)::INT END AS month FROM lineitem"""
+)
+def line_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ship dates printed as year, range, quarter or month, by line number, and read again."""
+    year, form = F.year("l_shipdate").cast("string"), F.pmod("l_linenumber", F.lit(4))
+    label = F.when(form == 0, year).when(form == 1, F.concat_ws("-", year, (F.year("l_shipdate") + 1).cast("string"))).when(form == 2, F.concat(year, F.lit("-Q"), F.quarter("l_shipdate").cast("string"))).otherwise(F.concat(year, F.lit("-M"), F.date_format("l_shipdate", "MM")))
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, label.alias("label"))
+    return rows.select(*LINE, *(c.alias(n) for n, c in codes.parse_period(F.col("label")).items()))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN '%' WHEN l_linestatus = 'O' AND l_linenumber % 2 = 0 THEN 'million' WHEN l_linestatus = 'O' THEN 'billion' ELSE l_linestatus END AS canonical FROM lineitem")
+def line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of the lines, printed in French and English, made canonical; unknown ones stay."""
+    even = F.pmod("l_linenumber", F.lit(2)) == 0
+    unit = F.when((F.col("l_linestatus") == "F") & even, "Pour cent ").when(F.col("l_linestatus") == "F", " per cent").when((F.col("l_linestatus") == "O") & even, "Millions").when(F.col("l_linestatus") == "O", "milliards").otherwise(F.col("l_linestatus"))
+    return table(spark, sf_dir, "lineitem").select(*LINE, codes.normalize_unit(unit).alias("canonical"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'validated' WHEN o_orderstatus = 'O' OR o_totalprice >= 200000 THEN 'review' ELSE 'validated' END AS status FROM orders")
+def order_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as labels: finished ones validated, open ones to be looked at, others by their price."""
+    label = F.when(F.col("o_orderstatus") == "F", " Validé").when(F.col("o_orderstatus") == "O", "À vérifier").otherwise(F.col("o_orderpriority"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", codes.status_of(label, F.col("o_totalprice") >= 200000).alias("status"))
+
+
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, indicator, value FROM (SELECT l_orderkey, l_linenumber, {', '.join(MEASURES)} FROM lineitem) UNPIVOT (value FOR indicator IN ({', '.join(MEASURES)}))")
+def line_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(*LINE, *(F.col(c).cast("string").alias(c) for c in MEASURES))
+    return tables.unpivoted(rows, LINE, MEASURES)
+
+
+def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities by supplier, return flag, line status and ship year: what a printed table of each supplier holds."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id"), F.col("l_returnflag").alias("sector"), F.col("l_linestatus").alias("indicator"), F.year("l_shipdate").cast("string").alias("period"))
+    return rows.agg(F.sum("l_quantity").alias("value"))
+
+
+_SUMS_SQL = "SELECT l_suppkey AS id, l_returnflag AS sector, l_linestatus AS indicator, year(l_shipdate)::VARCHAR AS period, sum(l_quantity) AS value FROM lineitem GROUP BY ALL"
+
+
+def _rank(*order: str) -> Column:
+    return F.dense_rank().over(W.partitionBy("id").orderBy(*order))
+
+
+def _printed(value: str) -> Column:
+    return F.replace(F.col(value).cast("string"), F.lit("."), F.lit(","))
+
+
+@query(
+    """WITH {facts} SELECT id, country, indicator, value, unit, year, last_year, quarter, month FROM (SELECT fact_id AS id, country, indicator, value, unit, year, NULL::INT AS last_year, quarter, month FROM facts)"""
+)
+def fact_long_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fact printed as the only line of a table with a header, and read again."""
+    period = codes.period_key(F.col("year"), F.col("quarter"), F.col("month"))
+    head = [F.lit(x) for x in ("Pays", "Période", "Indicateur", "Valeur", "Unité")]
+    body = [F.col("country"), period, F.col("indicator"), _printed("value"), F.col("unit")]
+    grids = facts(spark, sf_dir).select(F.col("fact_id").alias("id"), F.array(F.array(*head), F.array(*body)).alias("rows"))
+    return tables.long_table(tables.cells(grids, ["id"]), ["id"]).drop("r")
+
+
+@query(_SUMS_SQL)
+def supplier_grouped_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table a supplier: statuses over years across (each status printed once), return flags down."""
+    rows = _sums(spark, sf_dir).withColumns({"c": _rank("indicator", "period"), "r": _rank("sector") + 1})
+    columns = rows.groupBy("id", "indicator", "c", "period").agg(F.lit(0).alias("_"))
+    leads = F.lag("indicator").over(W.partitionBy("id").orderBy("c")).eqNullSafe(F.col("indicator"))
+    top = columns.select("id", F.lit(0).alias("r"), "c", F.when(~leads, F.col("indicator")).alias("cell"))
+    second = columns.select("id", F.lit(1).alias("r"), "c", F.col("period").alias("cell"))
+    labels = rows.groupBy("id", "r", F.col("sector").alias("cell")).agg(F.lit(0).alias("c")).select("id", "r", "c", "cell")
+    grid = top.unionByName(second).unionByName(labels).unionByName(rows.select("id", "r", "c", _printed("value").alias("cell")))
+    return tables.grouped_columns(grid, ["id"])
+
+
+@query(_SUMS_SQL)
+def supplier_sector_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table a supplier: years across, a heading a return flag, its statuses under it."""
+    rows = _sums(spark, sf_dir).withColumn("c", _rank("period"))
+    headings = rows.select("id", "sector", F.lit(None).cast("string").alias("indicator"), F.lit(0).alias("c"), F.col("sector").alias("cell")).distinct()
+    labels = rows.select("id", "sector", "indicator", F.lit(0).alias("c"), F.col("indicator").alias("cell")).distinct()
+    body = rows.select("id", "sector", "indicator", "c", _printed("value").alias("cell"))
+    numbered = headings.unionByName(labels).unionByName(body).withColumn("r", F.dense_rank().over(W.partitionBy("id").orderBy("sector", F.asc_nulls_first("indicator"))))
+    heads = rows.select("id", F.lit(0).alias("r"), "c", F.col("period").alias("cell")).distinct()
+    return tables.sector_blocks(numbered.select("id", "r", "c", "cell").unionByName(heads), ["id"])
+
+
+@query(
+    """WITH {facts}, x AS (SELECT fact_id, status = 'rejected' AS critical, value_type = 'relative_change' AS conflict, status = 'review' AS review, origin = 'human' AS sure, confidence AS q, (unit IS NOT NULL)::INT AS m, CASE WHEN quarter IS NULL AND month IS NULL THEN 0.7 ELSE 0.9 END AS p FROM facts),
+y AS (SELECT *, round(least(greatest(q * 0.49 + m * 0.12 + p * 0.17 + 0.10 + 0.8 * 0.08 - CASE WHEN critical THEN 0.30 ELSE 0 END - CASE WHEN conflict THEN 0.15 ELSE 0 END - CASE WHEN review THEN 0.10 ELSE 0 END, 0.05), 0.98), 4) AS score FROM x)
+SELECT fact_id, score, CASE WHEN conflict THEN least(score, 0.80) ELSE score END AS final_score, CASE WHEN critical THEN 'rejected' WHEN conflict OR review THEN 'review' WHEN sure THEN 'validated' ELSE 'review' END AS final_status FROM y"""
+)
+def fact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the facts; none has a context, so only those of human origin can be validated."""
+    sure, dated = F.col("confidence"), F.col("quarter").isNotNull() | F.col("month").isNotNull()
+    dimensions = {"indicator": sure, "amount": sure, "measure": F.when(F.col("unit").isNotNull(), 1.0), "period": F.when(dated, 0.9).otherwise(0.7), "place": F.lit(1.0), "association": sure, "semantic": F.lit(0.8), "context": F.lit(None).cast("double")}
+    warnings = {"critical": F.col("status") == "rejected", "conflict": F.col("value_type") == "relative_change", "review": F.col("status") == "review", "deterministic": F.col("origin") == "human"}
+    rows = facts(spark, sf_dir).select("fact_id", *(c.alias(n) for n, c in (dimensions | warnings).items()))
+    return consistency.final_status(consistency.evidence_score(rows)).select("fact_id", "score", "final_score", "final_status")
