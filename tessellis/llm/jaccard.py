@@ -193,8 +193,8 @@ def _hidden_pairs(base: DataFrame, members: DataFrame, classes: DataFrame, group
     return a.join(b, "sig").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & _possible()).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``df``: row (its number), doc_id, n_shingles, component_id (the smallest id that links reach)."""
+def _placed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, n_shingles, node, component) of every row of ``df``; rows without a set have no component."""
     base = id_and_text(df, id_col, text_col)
     base = base.withColumn("row", F.xxhash64("doc_id", "text"))
     members = written(_members(base), "members")
@@ -208,18 +208,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = _links(base, members, star.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b").filter(_possible()))
     hidden = _hidden_pairs(base, members, classes, grouped, connected_components(links))
     components = connected_components(links.unionByName(_links(base, members, hidden)))
-    placed = members.drop("sketch").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return members.drop("sketch").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of ``df``: row (its number), doc_id, n_shingles, component_id (the smallest id that links reach)."""
+    placed = _placed(df, id_col, text_col)
     names = placed.filter(F.col("component").isNotNull()).groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     named = placed.join(names, "component", "left")
     return named.select("row", "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that a row of smaller id in their component stands for; of rows alike in id and text all stay."""
-    found = near_duplicates(df, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("_row")).distinct()
-    gone = written(found, "near-copies")
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return df.join(few, F.xxhash64(df[id_col], df[text_col]) == gone["_row"], "left_anti")
+    """``df`` with one row of each component: that of the smallest id (nulls last), then of the smallest row number, then any of the rows alike."""
+    inside = _placed(df, id_col, text_col).filter(F.col("component").isNotNull())
+    best = inside.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("_best"), F.count("*").alias("_n")).filter("_n > 1")
+    grouped = written(inside.join(best, "component").select(F.col("row").alias("_row"), (F.col("row") != F.col("_best.row")).alias("_gone")), "near-copies")
+    gone = grouped.filter("_gone").select("_row").distinct()
+    number = F.xxhash64(df[id_col], df[text_col])
+    kept = df.join(_few(gone), number == gone["_row"], "left_anti")
+    twins = written(grouped.filter("NOT _gone").groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_row"), "twins")
+    if twins.isEmpty():
+        return kept
+    alone = kept.join(_few(twins), number == twins["_row"], "left_anti")
+    return alone.unionByName(kept.join(_few(twins), number == twins["_row"], "left_semi").dropDuplicates([id_col, text_col]))
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """``rows``, broadcast if these are few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
 ORACLE = r"""
