@@ -43,6 +43,15 @@ def grouped_columns(grid_cells: DataFrame, keys: list[str]) -> DataFrame:
     return body.join(top, [*keys, "c"]).join(second, [*keys, "c"]).join(label, [*keys, "r"]).select(*keys, "sector", "indicator", "period", "value")
 
 
+def column_matrix(grid_cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Facts of a table with indicators in its first row and a period (YYYY, YYYY-YYYY, YYYY-Qn, YYYY-Mnn) at the start of each other row."""
+    heads = grid_cells.filter("r = 0 AND c > 0 AND cell IS NOT NULL").select(*keys, "c", F.col("cell").alias("indicator"))
+    spans = parse_period(F.regexp_replace("cell", r"\s*[–-]\s*", "-"))
+    periods = grid_cells.filter("r > 0 AND c = 0").select(*keys, "r", *(c.alias(n) for n, c in spans.items())).filter("year IS NOT NULL")
+    body = grid_cells.filter("r > 0 AND c > 0").select(*keys, "r", "c", parse_number(F.col("cell")).alias("value")).filter("value IS NOT NULL")
+    return body.join(heads, [*keys, "c"]).join(periods, [*keys, "r"]).select(*keys, "indicator", "value", *spans)
+
+
 def sector_blocks(grid_cells: DataFrame, keys: list[str]) -> DataFrame:
     """Facts of a table whose rows without numbers are sector headings for the indicator rows under them."""
     heads = grid_cells.filter("r = 0 AND c > 0").select(*keys, "c", F.col("cell").alias("period"))

@@ -38,9 +38,23 @@ def text_column_scores(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*parts).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.*")
 
 
+def date_column(df: DataFrame, least: float = 0.65) -> str | None:
+    """The column named as a date, else the first of those with the largest share of values that are dates (day first), ``least`` at least."""
+    named = next((c for c in df.columns if c.lower() in NAMES["publication_date"]), None)
+    columns = [c for c, kind in df.dtypes if kind in ("string", "date", "timestamp")]
+    if named or not columns:
+        return named
+    formats = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy/M/d", "d MMMM yyyy", "d MMM yyyy")
+    day = lambda c: F.coalesce(*(F.try_to_timestamp(F.regexp_replace(F.trim(F.col(c).cast("string")), r"[T ]\d{1,2}:\d{2}.*$", ""), F.lit(f)) for f in formats))
+    shares = df.agg(*(F.try_divide(F.count(day(c)), F.count(c)).alias(c) for c in columns)).first()
+    best = max(columns, key=lambda c: shares[c] or 0.0)
+    return best if (shares[best] or 0.0) >= least else None
+
+
 def detected_columns(df: DataFrame) -> dict[str, str]:
     """Which column holds what: the text by score (1.0 at least), the others by name."""
     found = {kind: next((c for c in df.columns if c.lower() in names), None) for kind, names in NAMES.items()}
+    found["publication_date"] = date_column(df)
     best = text_column_scores(df).orderBy(F.desc("score"), "name").first()
     if best is None or best["score"] < 1.0:
         raise ValueError("no column looks like text")
