@@ -1,9 +1,8 @@
 """Repeated byte strings: every byte under a string of 400 bytes that also starts elsewhere is removed.
 
-The merge of shard suffix orders is kept to the suffixes and depths that matter. Each window of 400 bytes holds exactly
-one anchor, the 128-byte string of least hash in it; only suffixes at anchors are looked at, about one in 137. A
-shard is a partition of documents: it orders its own anchors, and the orders are interleaved by refining intervals
-(suffixes with a common prefix) from depth to depth, never sorting suffixes again:
+Anchored hash refinement, not a merge of suffix orders: no suffixes are ordered or interleaved. Each window of 400 bytes holds exactly
+one anchor, the 128-byte string of least hash in it; only suffixes at anchors are looked at, about one in 137. Anchors
+are grouped into intervals (suffixes with a common prefix), which are refined from depth to depth:
 
 1. depth 128: anchors by the hash of their 128 bytes. An interval with one member is done: nothing there repeats. If
    all members agree on everything their windows cover, all those windows repeat.
