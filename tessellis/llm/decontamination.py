@@ -1,6 +1,6 @@
 """Benchmark decontamination: test items whose word shingles a document contains to at least 4/5.
 
-Items are partitioned by size: an item of n shingles takes as its signature the n - ceil(0.8 n) + 1 smallest of its
+An exact prefix filter, without MinHash or size bands: an item of n shingles takes as its signature the n - ceil(0.8 n) + 1 smallest of its
 shingle hashes. A document that contains the item lacks at most n - ceil(0.8 n) of its shingles, so it has one of
 the signature, and the signatures are looked up among all shingles of every document. A MinHash signature of the long
 document instead would miss most short items (11 shingles in 20,000 words have a Jaccard similarity of 0.0005).
