@@ -11,7 +11,7 @@
 4. A group whose members, the pivot apart, still lie in several components may hide links between them. In small groups
    they are paired. The classes of large groups are looked at together: one must have enough shingles that another such
    class has, and takes the rarest of them, so many that two linked classes share one; classes are paired by these if
-   their numbers of shingles without a match allow a link. Sizes and sketches rule pairs out as before, the others are
+   sizes, short sketches, places in the order and numbers of shingles without a match allow a link. Sizes and sketches rule pairs out as before, the others are
    compared. So no pair that could link is left out, and no large group is paired up whole.
 
 Words are lower-cased in A-Z. Shingles and classes are told apart by 64-bit hashes. A null or empty text has no set and
@@ -44,13 +44,16 @@ HOT_CLASSES = 10_000
 REMEMBERED = 500_000
 #: In open groups of more classes than this, classes are paired by rare shingles, not by the group.
 SMALL_GROUP = 32
+#: Parts of the shortest sketch.
+HEAD = 512
 
 
-def sketch(values: np.ndarray) -> np.ndarray:
-    """The parity of the number of elements in each part of the domain: as many longs as the set's size asks for, a power of two and eight at least."""
-    parts = 512
-    while parts < len(values):
-        parts *= 2
+def sketch(values: np.ndarray, parts: int | None = None) -> np.ndarray:
+    """The parity of the number of elements in each part of the domain, 64 parts a long: as many as given, else a power of two, as the set's size asks for."""
+    if parts is None:
+        parts = HEAD
+        while parts < len(values):
+            parts *= 2
     odd = np.bincount((mixed(values ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -204,18 +207,24 @@ def _rare_pairs(base: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
     """Pairs of classes of (node, component) rows that could link, by the rarest of the shingles that several of them have.
 
     A class lacks a match for ``alone`` shingles; two of them can only link if 9 * (alone_a + alone_b) <= size_a + size_b,
-    so in each pair one has 9 * alone <= size.
+    so in each pair one has 9 * alone <= size. With the shingles in one order, rarest first, the first that two linked
+    classes share leaves both enough places (``left``) for the 4/9 of size_a + size_b that they must share.
     """
     kept = classes.join(rows, "node").select("row", F.array("node", "component").alias("own"))
-    each = _sets(base, kept, "node long, component long, size int, h long", lambda s, own: {"node": own[0], "component": own[1], "size": len(s), "h": s})
-    each = written(each.distinct(), "open-shingles")
-    counts = written(each.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "open-counts")
-    known = spread_join(each, counts.select("h", "n", F.col("n").alias("often")), "h").groupBy("node", "component", "size").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("known"))
+    columns = "node long, component long, size int, head array<long>, shingles array<long>"
+    each = _sets(base, kept, columns, lambda s, own: {"node": own[:1], "component": own[1:], "size": len(s), "head": [sketch(s.view(np.uint64), HEAD)], "shingles": [s]})
+    each = written(each.dropDuplicates(["node"]), "open-sets")
+    single = each.select("node", "size", F.explode("shingles").alias("h"))
+    counts = written(single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "open-counts")
+    known = spread_join(single, counts.select("h", "n", F.col("n").alias("often")), "h").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "h"))).alias("known"))
     first = F.size("known") - F.ceil(F.col("size") * 0.8).cast("int") + 1
-    short = known.filter(first > 0).select("node", "component", "size", (F.col("size") - F.size("known")).alias("alone"), F.explode(F.slice("known", F.lit(1), first)).alias("x"))
-    short = written(short.select("node", "component", "size", "alone", F.col("x.h").alias("h")), "open-prefixes")
-    a, b = (short.select("h", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "size", "alone"))) for s in "ab")
-    joined = a.filter("9 * alone_a <= size_a").join(b, "h").filter((F.col("component_a") != F.col("component_b")) & _near() & F.expr("9 * (alone_a + alone_b) <= size_a + size_b"))
+    short = known.filter(first > 0).select("node", "size", (F.col("size") - F.size("known")).alias("alone"), F.size("known").alias("left"), F.posexplode(F.slice("known", F.lit(1), first)).alias("at", "x"))
+    short = short.select("node", "size", "alone", (F.col("left") - F.col("at")).alias("left"), F.col("x.h").alias("h")).join(each.select("node", "component", "head"), "node")
+    short = written(short, "open-prefixes")
+    a, b = (short.select("h", *(F.col(c).alias(f"{c}_{s}") for c in short.columns if c != "h")) for s in "ab")
+    room = F.expr("9 * least(left_a, left_b) >= 4 * (size_a + size_b) AND 9 * (alone_a + alone_b) <= size_a + size_b")
+    bits = sum((F.bit_count(F.col("head_a")[k].bitwiseXOR(F.col("head_b")[k])) for k in range(HEAD // 64)), F.lit(0))
+    joined = a.filter("9 * alone_a <= size_a").join(b, "h").filter((F.col("component_a") != F.col("component_b")) & _near() & room & (9 * bits <= F.col("size_a") + F.col("size_b")))
     pairs = written(joined.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "rare-pairs")
     discard(each, counts, short)
     return pairs
