@@ -140,6 +140,54 @@ def test_templates_go_and_shared_sentences_stay(spark):
     assert got == want and html.extract_text(df).count() == 12 and html.extract_text(df.limit(0)).count() == 0
 
 
+def test_class_names_take_no_text_by_chance():
+    text = lambda body: html.main_text(body)[0]
+    assert text('<div class="layout has-sidebar"><p>Real article text.</p></div>') == "Real article text."
+    assert text('<p>a</p><div class="share-price"><p>12.5</p></div>') == "a\n12.5"
+    assert text('<div class="widget"><h1>T</h1><p>a</p></div><div class="cookie-banner">We use cookies</div>') == "T\na"
+    assert text('<div class="sidebar"><p>all there is</p></div>') == "all there is"
+    assert text('<p>a</p><div id="siteFooter">F</div><div class="reader comments"><p>First!</p></div><ul class="nav-links main"><li>x</ul>') == "a"
+    assert text('<article class="comment"><p>c</p></article><p>a</p>') == "a"
+
+
+def test_templates_match_counts_by_brute_force(spark):
+    """Well-formed pages of <div> and <p>, counted and cut with a tree parser."""
+    import random
+    from collections import Counter
+    from xml.etree import ElementTree
+
+    r, pages = random.Random(3), []
+    boxes = [f"<div><p>box {k}</p><div>part {k % 3}</div></div>" for k in range(12)]
+    for k in range(40):
+        host = r.choice("ab")
+        own = "".join(f"<p>own {k} {j} " + "long text " * 9 + "</p>" for j in range(3))
+        chosen = [boxes[min(int(r.expovariate(0.4)), 11)] for _ in range(3)]
+        pages.append((k, f"http://{host}/{k}", f"<body><div>{''.join(chosen[:2])}</div>{own}{chosen[2]}</body>"))
+    pages += [(100 + k, f"http://a/x{k}", pages[0][2].replace("http", "")) for k in range(9)]  # copies count once
+    whole = lambda e: ElementTree.tostring(e, encoding="unicode")
+    counts = Counter((url.split("/")[2], key) for url, html_text in {(u.split("/")[2].join(("//", "/")), h) for _, u, h in pages} for key in {whole(e) for e in ElementTree.fromstring(html_text).iter("div")})
+
+    def cut(element, host):
+        out = [element.text.strip()] if element.text and element.text.strip() else []
+        for child in element:
+            if child.tag == "p" or counts[host, whole(child)] < html.MIN_PAGES:
+                out += cut(child, host)
+        return out
+
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html.extract_text(df).collect()}
+    assert got == {k: "\n".join(cut(ElementTree.fromstring(h), u.split("/")[2])) for k, u, h in pages}
+    assert max(counts.values()) >= 5 and len({len(t) for t in got.values()}) > 3
+
+
+def test_menus_whose_text_varies_go_by_their_shape(spark):
+    menu = lambda k: "<div class=m>" + "".join(f"<div><a href=/{j}>entry {k} {j}</a></div>" for j in range(k % 4 + 1)) + "</div>"
+    pages = [(k, f"http://a/{k}", f"<body>{menu(k)}<div class=t>prose of its own, number {k}</div></body>") for k in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {(x.page_id, x.text) for x in html.extract_text(df).collect()} == {(k, f"prose of its own, number {k}") for k in range(9)}
+    assert {x.text.count("entry") for x in html.extract_text(df.limit(4)).collect()} == {1, 2, 3, 4}
+
+
 # 6 decontamination
 
 
