@@ -208,6 +208,26 @@ def test_no_items_or_no_documents_leak_nothing(spark, frame):
     assert decontamination.leaks(frame([(1, "a b c d e f")]), none).count() == 0 and decontamination.leaks(frame([]), none).count() == 0
 
 
+def test_short_items_are_found_in_a_very_long_text(spark, frame):
+    """Every item lies somewhere in one text of 60,000 words, with up to a fifth of its shingles broken; blocks must not lose it."""
+    import random
+
+    r = random.Random(8)
+    words, items = [f"w{r.randrange(9000)}" for _ in range(60_000)], []
+    for k in range(300):
+        n = r.randint(5, 90)
+        item = [f"i{k}x{j}" for j in range(n)]
+        items.append((k, " ".join(item)))
+        if r.random() < 0.5 and n > 40:
+            item[n // 2] = "other"  # breaks five of n - 4 shingles
+        at = r.randrange(len(words))
+        words[at:at] = item
+    rows = [(1, " ".join(words)), (2, items[7][1] + " and more"), (2, items[7][1] + " and more")]
+    got = rows_of(decontamination.leaks(frame(rows), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id", "n_item", "n_shared")
+    want = plain.leaks(rows, items)
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want) and (2, 7) in {x[:2] for x in got}
+
+
 # 7 byte-level BPE
 
 
