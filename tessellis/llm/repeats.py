@@ -27,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellis.llm.common import id_and_text, written
+from tessellis.llm.common import discard, id_and_text, spread_join, written
 
 LENGTH, GRAM, BLOCK = 400, 128, 32
 SPAN = LENGTH - GRAM + 1
 _CHUNK = 1 << 18
 _AT = np.uint64((1 << 24) - 1)
-#: Up to so many intervals or row ids are broadcast (some 50 MB); more are joined by shuffle.
+#: Up to so many places or spans are broadcast, in all their arrays (some 50 MB); more are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -145,14 +145,16 @@ def _all_anchors(base: DataFrame) -> DataFrame:
     return base.mapInPandas(run, "key long, cover long, row long, lo long, hi long, at long")
 
 
-def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _few(grouped: DataFrame, arrays: str) -> DataFrame:
+    """``grouped``, broadcast if its rows and the members of its arrays are few."""
+    size = grouped.agg(F.coalesce(F.sum(F.size(arrays) + 1), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(grouped) if size <= BROADCAST_ROWS else grouped
 
 
 def _on_texts(base: DataFrame, places: DataFrame, columns: str, make) -> DataFrame:
     """``make(key, lo, hi, at, hash)`` for the (row, key, lo, hi, at) of each text; it gives a dict of arrays and ``which`` place each is of."""
     grouped = written(places.groupBy("row").agg(F.collect_set(F.struct("key", "lo", "hi", "at")).alias("places")), "places")
-    joined = base.join(_few(grouped), "row").dropDuplicates(["row"])
+    joined = base.join(_few(grouped, "places"), "row").dropDuplicates(["row"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -202,20 +204,27 @@ def _windows(key: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, ha
 
 def repeated_spans(base: DataFrame) -> DataFrame:
     """(row, lo, hi): windows lo to hi of the text of (row, text) repeat; a row may have several, in any order."""
+    alike = lambda bare: ((F.col("_least") == F.col("_most")) & bare).alias("alike")
     anchors = written(_all_anchors(base), "anchors")
     intervals = anchors.groupBy("key").agg(F.count("*").alias("n"), F.min("cover").alias("_least"), F.max("cover").alias("_most")).filter("n > 1")
-    shared = written(anchors.join(intervals.select("key", (F.col("_least") == F.col("_most")).alias("alike")), "key"), "shared-anchors")
+    intervals = written(intervals.select("key", "n", alike(F.lit(True))), "intervals")
+    shared = written(spread_join(anchors, intervals, "key"), "shared-anchors")
+    discard(anchors, intervals)
     mixed = shared.filter(~F.col("alike"))
     classes = written(mixed.groupBy("key", "cover").agg(F.count("*").alias("n"), F.min(F.struct("row", "lo", "hi", "at")).alias("one")), "classes")
-    again = mixed.join(classes.filter("n > 1").select("key", "cover"), ["key", "cover"], "left_semi")
+    again = spread_join(mixed, classes.filter("n > 1").select("key", "cover", "n"), ["key", "cover"], "left_semi")
     one = classes.select("key", "one.*")
     blocks = written(_on_texts(base, one, "core long, cover long, lo long, hi long, at long, key long, row long", _blocks), "blocks")
     cores = blocks.groupBy("core").agg(F.count("*").alias("n"), F.min("cover").alias("_least"), F.max("cover").alias("_most")).filter("n > 1")
-    open_blocks = written(blocks.join(cores.select("core", ((F.col("_least") == F.col("_most")) & (F.col("_least") != 0)).alias("alike")), "core"), "open-blocks")
+    cores = written(cores.select("core", "n", alike(F.col("_least") != 0)), "cores")
+    open_blocks = written(spread_join(blocks, cores, "core"), "open-blocks")
+    discard(blocks, cores)
     windows = written(_on_texts(base, open_blocks.filter(~F.col("alike")), "hash long, lo long, row long", _windows), "windows")
-    several = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    several = windows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     spans = shared.filter("alike").select("row", "lo", "hi").unionByName(again.select("row", "lo", "hi")).unionByName(open_blocks.filter("alike").select("row", "lo", "hi"))
-    return spans.unionByName(windows.join(several, "hash").select("row", "lo", F.col("lo").alias("hi")))
+    spans = written(spans.unionByName(spread_join(windows, several, "hash").select("row", "lo", F.col("lo").alias("hi"))), "all-spans")
+    discard(shared, classes, open_blocks, windows)
+    return spans
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -240,8 +249,8 @@ def repeat_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = id_and_text(df, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
     spans = repeated_spans(base.select("row", "text"))
     grouped = written(spans.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans")
-    size = grouped.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).first()["n"]
-    joined = base.join(F.broadcast(grouped) if size <= BROADCAST_ROWS else grouped, "row", "left")
+    discard(spans)
+    joined = base.join(_few(grouped, "spans"), "row", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
