@@ -6,6 +6,8 @@ dictionary from the first frame (itself compressed or not), finds the frames by
 a time and checks each record: version line, header lines, lengths, block and payload digests. A record that fails
 comes back with its ``error``; an archive that cannot be cut into frames gives one row with an error.
 
+An archive is read as one value, so one of gigabytes must be cut into several files before. Page ids are whole numbers (long).
+
 Cases: a null payload is empty, a null url is written as an empty target; rows that share a payload all revisit the
 one with the smallest page id, and a null id is larger than any; rows that repeat that id are all responses; an
 empty table makes no archive and gives no record; further columns are not read.
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessellis.llm.common import written
+from tessellis.llm.common import spread_join, written
 
 DICT_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 DICT_BYTES, DICT_SAMPLES = 65_536, 400
@@ -37,9 +39,11 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def trained_dictionary(pages: DataFrame, html_col: str = "html", samples: int = DICT_SAMPLES, size: int = DICT_BYTES) -> bytes:
-    """A dictionary from at most ``samples`` payloads of at most ``size`` characters; empty if there are too few."""
-    rows = pages.filter(F.length(html_col) > 0).select(F.substring(html_col, 1, size).alias("t")).limit(samples).collect()
+def trained_dictionary(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", samples: int = DICT_SAMPLES, size: int = DICT_BYTES) -> bytes:
+    """A dictionary from the payloads of ``samples`` page ids, chosen by hash, of at most ``size`` characters each; empty if there are too few."""
+    full = pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).filter(F.col("id").isNotNull() & (F.length("html") > 0))
+    ids = [r["id"] for r in full.select("id").orderBy(F.xxhash64("id"), "id").limit(samples).collect()]
+    rows = full.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.substring("html", 1, size)).alias("t")).orderBy("id").collect() if ids else []
     try:
         return zstandard.train_dictionary(size, [r["t"].encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -75,8 +79,8 @@ def marked_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     html = F.coalesce(pages[html_col], F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     large = rows.filter(F.octet_length("html") >= least_bytes)
-    first = large.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") > 1).drop("n")
-    joined = rows.join(first, "sha1", "left")
+    first = written(large.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter(F.col("n") > 1), "repeated-payloads")
+    joined = spread_join(rows, first, "sha1", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.octet_length("html") >= least_bytes)
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
