@@ -4,7 +4,9 @@ A run is a table of (line hash, documents, largest document) sorted by hash in t
 becomes a run of level 0; once a level has ``fanout`` runs they are merged into one run of the next level. Batches
 come in descending order of document id, so a line that the runs already know from ``min_docs`` documents is
 settled: the batch is merge-anti-joined with the settled lines and adds only what is left. The last look at the
-runs, when all batches are in, gives the verdict on every line.
+runs, when all batches are in, gives the verdict on every line. The merge is Spark's: a run is a file set of the shared
+folder, and only tables of a catalogue tell Spark their order, so merges and anti-joins exchange and sort what they read;
+within its files a run is in order, which packs it well and lets a reader of a few hashes skip row groups.
 
 A line's key is the line without ASCII white space at its ends, A-Z in lower case. Keys of at least ``min_chars``
 code points in at least ``min_docs`` documents lose their lines except in the largest document id.
@@ -18,8 +20,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from tessellis.llm.common import ascii_lower, free_name, written
+from tessellis.llm.common import ascii_lower, discard, free_name, spread_join, written
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 20, 3, 4, 3
 BLANKS = "\t\n\x0b\x0c\r "
@@ -46,6 +49,7 @@ class LineRuns:
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(self._merged(full), level + 1)
+            discard(*full)
 
     def lines(self) -> DataFrame | None:
         """One row per line hash over all runs; None before the first batch."""
@@ -74,8 +78,8 @@ def line_keys(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
 
 def _descending(lines: DataFrame, batches: int) -> list[Column]:
-    """Conditions that cut ``doc_id`` into ranges of about equal size, largest ids first; null ids come last."""
-    shares = [k / batches for k in range(1, batches)]
+    """Conditions that cut ``doc_id`` into ranges of about equal size, largest ids first; null ids come last. Ids that are no numbers are one range."""
+    shares = [k / batches for k in range(1, batches)] if isinstance(lines.schema["doc_id"].dataType, NumericType) else []
     cuts = lines.agg(F.percentile_approx("doc_id", shares, 1000).alias("cuts")).first()["cuts"] if shares else []
     cuts = sorted(set(cuts or []))
     bounds = [None, *cuts, None]
@@ -93,8 +97,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = LineRuns(df.sparkSession)
     for inside in _descending(lines, batches):
         runs.add(lines.filter(inside).select(*KEY, "doc_id"))
-    common = runs.lines().filter(F.col("n_docs") >= MIN_DOCS)
-    return lines.join(common, KEY).filter(~F.col("doc_id").eqNullSafe(F.col("top_doc"))).select("doc_id", "version", "at")
+    common = written(runs.lines().filter(F.col("n_docs") >= MIN_DOCS), "common-lines")
+    return spread_join(lines, common, KEY, counted="n_docs").filter(~F.col("doc_id").eqNullSafe(F.col("top_doc"))).select("doc_id", "version", "at")
 
 
 def with_kept_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES) -> tuple[DataFrame, str]:
