@@ -27,8 +27,9 @@ def shift(year: Column, part: Column, by: Column | int, parts: int) -> tuple[Col
 
 # Unit names and what they stand for.
 UNITS = {
-    "pour cent": "%", "pourcent": "%", "percent": "%", "per cent": "%", "بالمئة": "%", "dinars": "TND", "dinar": "TND", "euros": "EUR", "euro": "EUR",
-    "dollars": "USD", "dollar": "USD", "milliard": "billion", "milliards": "billion", "million": "million", "millions": "million", "points": "point", "jours": "jour",
+    "pour cent": "%", "pourcent": "%", "percent": "%", "per cent": "%", "percentage": "%", "بالمئة": "%", "percentage_point": "percentage_point", "points de pourcentage": "percentage_point",
+    "tnd": "TND", "dt": "TND", "dinar": "TND", "dinars": "TND", "eur": "EUR", "euro": "EUR", "euros": "EUR", "usd": "USD", "dollar": "USD", "dollars": "USD",
+    "million": "million", "millions": "million", "billion": "billion", "milliard": "billion", "milliards": "billion", "points": "point", "jours": "jour",
 }
 
 

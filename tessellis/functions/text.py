@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as text is stripped of it: ASCII, separators and the Unicode blanks.
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def clean_text(text: Column) -> Column:
-    """Without NUL, BOM and direction marks; hyphenated line ends joined; spaces and empty lines squeezed; no space before marks."""
-    out = F.translate(text, "\x00﻿‎‏‪‫‬‭‮", "")
-    steps = [(r"\r\n?", "\n"), (r"(\w)-\n(\w)", "$1$2"), (r"[ \t  ]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r" +([,.;:!?%])", "$1")]
+    """NUL and BOM as blanks, without direction marks; hyphenated line ends joined; blanks and empty lines squeezed; no blank before marks."""
+    out = F.translate(text, "\x00\ufeff\u200f\u200e", "  ")
+    steps = [(r"(?U)(\w)-\n(\w)", "$1$2"), (r"\r\n?", "\n"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (r" +([,.;:!?%])", "$1")]
     for pattern, into in steps:
-        out = F.regexp_replace(out, F.lit(f"(?U){pattern}" if r"\w" in pattern else pattern), F.lit(into))
-    return F.trim(out)
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(into))
+    return F.btrim(out, F.lit(STRIPPED))
 
 
 def count_words(text: Column) -> Column:
@@ -25,23 +31,18 @@ def arabic_share(text: Column) -> Column:
     return F.coalesce(F.try_divide(F.regexp_count(text, F.lit(r"[؀-ۿ]")), letters), F.lit(0.0))
 
 
-# Frequent words that tell languages apart.
-LANGUAGE_WORDS = {
-    "fr": "le la les des une est dans pour avec sur par qui que",
-    "en": "the of and is in for with on by that which from",
-    "de": "der die das und ist mit von den für auf",
-    "es": "el los las una es para con por del que",
-}
+# Words that tell the languages apart, in the order they are tried.
+LANGUAGE_WORDS = {"en": "the and of with for was were", "fr": "le la les des de du en avec pour est sont"}
 
 
 def language(text: Column) -> Column:
-    """unknown under 20 characters; ar by script; else the language with the most frequent words, in the order fr, en, de, es."""
-    counts = {lang: F.regexp_count(F.lower(text), F.lit(rf"(?<![\p{{L}}])({'|'.join(words.split())})(?![\p{{L}}])")) for lang, words in LANGUAGE_WORDS.items()}
-    best = F.greatest(*counts.values())
-    out = F.when(F.length(text) < 20, "unknown").when(arabic_share(text) > 0.25, "ar").when(best == 0, "unknown")
-    for lang, count in counts.items():
-        out = out.when(count == best, lang)
-    return out
+    """unknown under 20 characters; ar if over a quarter of the letters are; else en, then fr, by any of their words; else unknown."""
+    bare = F.btrim(text, F.lit(STRIPPED))
+    arabic, letters = F.regexp_count(bare, F.lit("[\u0600-\u06ff]")), F.regexp_count(bare, F.lit("[A-Za-z\u00c0-\u00ff\u0600-\u06ff]"))
+    out = F.when(bare.isNull() | (F.length(bare) < 20), "unknown").when(arabic * 4 > letters, "ar")
+    for name, words in LANGUAGE_WORDS.items():
+        out = out.when(bare.rlike(rf"(?iuU)(?<!\w)(?:{'|'.join(words.split())})(?!\w)"), name)
+    return out.otherwise("unknown")
 
 
 def url_host(url: Column) -> Column:
@@ -51,11 +52,10 @@ def url_host(url: Column) -> Column:
 
 
 def first_date(text: Column) -> Column:
-    """The first ISO date, else the first day/month/year, else the first year with a month name, of the first 3000 characters."""
+    """The first date of the first 3000 characters: year-month-day, else day/month/year, else day-month-year."""
     head = F.substring(text, 1, 3000)
-    months = "janvier|février|mars|avril|mai|juin|juillet|août|septembre|octobre|novembre|décembre|january|february|march|april|may|june|july|august|september|october|november|december"
-    found = [F.regexp_extract(head, p, 0) for p in (r"\b\d{4}-\d{2}-\d{2}\b", r"\b\d{1,2}/\d{1,2}/\d{4}\b", rf"(?iuU)\b\d{{1,2}} (?:{months}) \d{{4}}\b")]
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found))
+    shapes = (r"\d{4}-\d{2}-\d{2}", r"\d{1,2}/\d{1,2}/\d{4}", r"\d{1,2}-\d{1,2}-\d{4}")
+    return F.coalesce(*(F.nullif(F.regexp_extract(head, rf"(?U)\b{shape}\b", 0), F.lit("")) for shape in shapes))
 
 
 def title_line(text: Column) -> Column:
@@ -85,3 +85,40 @@ def numeric_mentions(text: Column) -> Column:
     """Every number of a text with its ordinal, value and the unit after it, in order."""
     found = F.regexp_extract_all(text, F.lit(rf"(?u)({NUMBER})[  ]?(%|percent|pour cent|points?)?"), F.lit(0))
     return F.transform(found, lambda x, i: F.struct(i.alias("nr"), F.regexp_replace(x, r"[^\d.,+  -]", "").alias("raw"), parse_number(F.regexp_replace(x, r"[^\d.,+-]", "")).alias("value"), x.rlike("(?i)(%|percent|pour cent)$").alias("percent")))
+
+
+# How scales and currencies are written, and what they stand for.
+SCALES = {"million": "million", "millions": "million", "milliard": "milliard", "milliards": "milliard", "billion": "milliard", "billions": "milliard"}
+CURRENCY_NAMES = {"dinar": "TND", "dinars": "TND", "tnd": "TND", "dt": "TND", "euro": "EUR", "euros": "EUR", "eur": "EUR", "€": "EUR", "dollar": "USD", "dollars": "USD", "usd": "USD", "$": "USD"}
+MEASURED = (
+    rf"({NUMBER})(?:[ \u00a0\u202f]?(%|percent\b|per cent\b|pour cent\b|points?\b))?(?:[ \u00a0\u202f]({'|'.join(sorted(SCALES, reverse=True))})\b)?"
+    rf"(?:[ \u00a0\u202f](?:de |d['\u2019])?({'|'.join(re.escape(x) for x in sorted(CURRENCY_NAMES, reverse=True))})(?![\p{{L}}]))?"
+)
+
+
+def placed_numbers(text: Column) -> Column:
+    """Every number of a text in order: nr, start and stop (from 0, its measure included), raw, value, unit, scale, currency, is_year.
+
+    A year is a bare number of four digits from 1900 to 2099. Null and empty texts have none.
+    """
+    pattern = f"(?iuU){MEASURED}"
+    part = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    parts = F.arrays_zip(part(0).alias("whole"), part(1).alias("raw"), part(2).alias("unit"), part(3).alias("scale"), part(4).alias("currency"), gaps.alias("gap"))
+    none = F.lit(None).cast("string")
+    known = lambda table: F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+
+    def placed(so_far, x):
+        last = F.get(so_far, F.size(so_far) - 1)
+        start = F.coalesce(last["stop"], F.lit(0)) + x["gap"]
+        unit = F.when(x["unit"] == "", none).when(F.lower(x["unit"]).rlike("^point"), "point").otherwise("%")
+        scale, currency = F.try_element_at(known(SCALES), F.lower(x["scale"])), F.try_element_at(known(CURRENCY_NAMES), F.lower(x["currency"]))
+        year = x["whole"].rlike(r"^(19|20)\d{2}$")
+        row = F.struct(
+            F.size(so_far).alias("nr"), start.alias("start"), (start + F.length(x["whole"])).alias("stop"), x["raw"].alias("raw"), parse_number(x["raw"]).alias("value"),
+            unit.alias("unit"), scale.alias("scale"), currency.alias("currency"), year.alias("is_year"),
+        )
+        return F.concat(so_far, F.array(row))
+
+    kind = "array<struct<nr:int,start:int,stop:int,raw:string,value:double,unit:string,scale:string,currency:string,is_year:boolean>>"
+    return F.aggregate(F.filter(parts, lambda x: x["whole"].isNotNull()), F.array().cast(kind), placed)

@@ -61,10 +61,10 @@ def current(versions: DataFrame, key: str, version: str) -> DataFrame:
 
 
 def overlaid(rows: DataFrame, payload: str, schema: str, indexed: list[str]) -> DataFrame:
-    """The fields of a JSON payload with the indexed columns over them (where these are not null)."""
+    """The fields of a JSON payload with the indexed columns over them; an indexed column counts even where it is null."""
     parsed = rows.withColumn("_p", F.from_json(payload, schema))
     names = [part.split()[0] for part in schema.split(",")]
-    return parsed.withColumns({n: F.coalesce(F.col(n), F.col(f"_p.{n}")) if n in indexed else F.col(f"_p.{n}") for n in names}).drop("_p", payload)
+    return parsed.withColumns({n: F.col(n) if n in indexed else F.col(f"_p.{n}") for n in names}).drop("_p", payload)
 
 
 def replace_documents(stored: DataFrame, incoming: DataFrame, key: str = "document_id") -> DataFrame:

@@ -165,7 +165,7 @@ def rounding_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH y AS (SELECT o_custkey, year(o_orderdate)::INT AS year, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS value FROM orders GROUP BY ALL), r AS (
   SELECT *, lag(value) OVER w AS reference_value, lag(year) OVER w AS reference_year FROM y WINDOW w AS (PARTITION BY o_custkey ORDER BY year)
-) SELECT o_custkey, year, value, reference_value, reference_year, value - reference_value AS absolute_change, (value - reference_value) / nullif(abs(reference_value), 0) * 100 AS relative_change,
+) SELECT o_custkey, year, value, reference_value, reference_year, round_even(value - reference_value, 4) AS absolute_change, round_even(round_even(value - reference_value, 4) / nullif(abs(reference_value), 0) * 100, 2) AS relative_change,
   CASE WHEN reference_value IS NULL THEN 'none' WHEN value > reference_value THEN 'increase' WHEN value < reference_value THEN 'decrease' ELSE 'stable' END AS direction FROM r"""
 )
 def fact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +294,7 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.current(rows, "user_id", "event_id")
 
 
-@query("SELECT event_id, coalesce(event_type, json_extract_string(props, '$.event_type')) AS event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, event_type, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def payload_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
     return repository.overlaid(rows, "props", "event_type string, k bigint", ["event_type"])

@@ -30,9 +30,14 @@ def count_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.count_words(F.col("text")).cast("long").alias("n_words"))
 
 
+BLANKS_SQL = "chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(32) || chr(133) || chr(160) || chr(5760) || " + " || ".join(f"chr({8192 + k})" for k in range(11)) + " || chr(8232) || chr(8233) || chr(8239) || chr(8287) || chr(12288)"
+
+
 @query(
-    r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), '[ \t\x{00A0}\x{202F}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' +([,.;:!?%])', '\1', 'g') AS t FROM documents)
-SELECT doc_id, md5(trim(t, ' ')) AS cleaned FROM s"""
+    r"""WITH s AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(text, chr(8206) || chr(8207), ''), chr(65279), ' '), '([\p{L}\p{M}\p{N}_])-\n([\p{L}\p{M}\p{N}_])', '\1\2', 'g'), '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' +([,.;:!?%])', '\1', 'g') AS t FROM documents)
+SELECT doc_id, md5(trim(t, """
+    + BLANKS_SQL
+    + ")) AS cleaned FROM s"
 )
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", F.md5(text.clean_text(F.col("text")).cast("binary")).alias("cleaned"))
@@ -43,7 +48,12 @@ def script_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.arabic_share(F.col("text")).alias("arabic"))
 
 
-@query()
+LANGUAGE_SQL = r"""WITH s AS (SELECT doc_id, trim(text, {blanks}) AS t FROM documents), n AS (SELECT *, len(regexp_extract_all(t, '[\x{{0600}}-\x{{06FF}}]')) AS ar, len(regexp_extract_all(t, '[A-Za-z\x{{00C0}}-\x{{00FF}}\x{{0600}}-\x{{06FF}}]')) AS letters FROM s)
+SELECT doc_id, CASE WHEN t IS NULL OR length(t) < 20 THEN 'unknown' WHEN ar * 4 > letters THEN 'ar' WHEN regexp_matches(lower(t), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(the|and|of|with|for|was|were)($|[^\p{{L}}\p{{M}}\p{{N}}_])') THEN 'en'
+  WHEN regexp_matches(lower(t), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(le|la|les|des|de|du|en|avec|pour|est|sont)($|[^\p{{L}}\p{{M}}\p{{N}}_])') THEN 'fr' ELSE 'unknown' END AS language FROM n"""
+
+
+@query(LANGUAGE_SQL.format(blanks=BLANKS_SQL))
 def language_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.language(F.col("text")).alias("language"))
 
@@ -60,7 +70,10 @@ def title_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.title_line(F.col("text")).alias("title"))
 
 
-@query()
+@query(
+    r"""SELECT doc_id, coalesce(nullif(regexp_extract(h, '(?:^|[^\p{L}\p{M}\p{N}_])(\d{4}-\d{2}-\d{2})(?:$|[^\p{L}\p{M}\p{N}_])', 1), ''), nullif(regexp_extract(h, '(?:^|[^\p{L}\p{M}\p{N}_])(\d{1,2}/\d{1,2}/\d{4})(?:$|[^\p{L}\p{M}\p{N}_])', 1), ''),
+  nullif(regexp_extract(h, '(?:^|[^\p{L}\p{M}\p{N}_])(\d{1,2}-\d{1,2}-\d{4})(?:$|[^\p{L}\p{M}\p{N}_])', 1), '')) AS date FROM (SELECT doc_id, substr(text, 1, 3000) AS h FROM documents)"""
+)
 def first_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", text.first_date(F.col("text")).alias("date"))
 
@@ -118,9 +131,10 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     SENTENCES_SQL
-    + r""" SELECT conv_id, turn, nr, CASE WHEN length(sentence) < 18 THEN 'too_short' WHEN regexp_matches(sentence, '^(Table|Figure|Graphique|Tableau) ') THEN 'caption'
-  WHEN len(regexp_extract_all(sentence, '\d+')) >= 3 AND len(string_split_regex(trim(sentence, ' '), '\s+')) <= 14 THEN 'table_row' WHEN len(regexp_extract_all(sentence, '\(\d{4}\)|et al')) >= 2 THEN 'citations'
-  WHEN len(regexp_extract_all(sentence, '\d+')) = 0 THEN 'no_measure' END AS reason FROM s WHERE length(sentence) >= 12"""
+    + r""", squeezed AS (SELECT conv_id, turn, nr, trim(regexp_replace(sentence, '\s+', ' ', 'g')) AS x FROM s WHERE length(sentence) >= 12)
+SELECT conv_id, turn, nr, CASE WHEN length(x) < 18 THEN 'too_short' WHEN regexp_matches(x, '(?i)^(tableau|graphique|figure|encadr[eé]) *\d+ *[:.-]|^sources? *: *[^.!?]{0,120}$|^(variable|coefficient)\b|\br *[²2]\b|\bp[- ]?value\b|([A-Za-z]{1,8} *= *){2,}') THEN 'no_prose'
+  WHEN len(regexp_extract_all(x, '[-+]?\d+([.,]\d+)?')) >= 3 AND len(regexp_extract_all(x, '[A-Za-zÀ-ÿ]+')) <= 14 AND NOT regexp_matches(x, '(?i)\b(stood at|reached|rose to|fell to|increased to|decreased to|compared with|compared to|contre)\b') THEN 'table_row'
+  WHEN NOT regexp_matches(x, '(?i)[-+]?\d+([.,]\d+)?\s*(%|pour cent|percent|points?|milliards?|millions?|md\b|tnd\b|usd\b|eur\b|jours?)') THEN 'no_measure' END AS reason FROM squeezed"""
 )
 def sentence_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn"))

@@ -84,10 +84,10 @@ def test_pages_and_back_matter(spark):
 
 
 def test_text_helpers(spark):
-    row = spark.createDataFrame([("Le 3 mars 2021, voir https://www.Example.org/x\nUn titre assez long pour compter",)], "t string").select(
+    row = spark.createDataFrame([("Le 3-03-2021, voir https://www.Example.org/x\nUn titre assez long pour compter",)], "t string").select(
         text.first_date(F.col("t")).alias("d"), text.url_host(F.col("t")).alias("h"), text.language(F.col("t")).alias("l"), text.arabic_share(F.lit("مرحبا abc")).alias("a")
     ).first()
-    assert (row.d, row.h, row.a) == ("3 mars 2021", "example.org", 0.625)
+    assert (row.d, row.h, row.a, row.l) == ("3-03-2021", "example.org", 0.625, "fr")
 
 
 def test_csv_with_bom_and_quotes(spark, tmp_path):
