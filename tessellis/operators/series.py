@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessellis.functions.codes import direction, period_key
+from tessellis.operators.consistency import exact_quantiles
 
 SERIES = ["country", "series_id", "indicator", "unit", "scale", "currency"]
 
@@ -32,9 +33,14 @@ def indicator_statistics(series: DataFrame) -> DataFrame:
     rows = series.groupBy(*SERIES).agg(
         F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min("value").alias("least"), F.max("value").alias("most"),
         F.min(F.struct("value", "year")).getField("year").alias("least_year"), F.max(F.struct(F.col("value"), -F.col("year"))).getField("col2").alias("_most_year"),
-        exact.alias("mean"), F.median("value").alias("median"), F.round(F.stddev_pop("value"), 3).alias("deviation"),
+        exact.alias("mean"), F.round(F.stddev_pop("value"), 3).alias("deviation"),
         F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"),
     )
+    middle = exact_quantiles(series, SERIES, "value", [0.5]).select(*(F.col(k).alias(f"_{k}") for k in SERIES), F.col("q0").alias("median"))
+    same = F.lit(True)
+    for k in SERIES:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    rows = rows.join(middle, same, "left").drop(*(f"_{k}" for k in SERIES))
     span = F.col("last_year") - F.col("first_year")
     change = F.col("last_value") - F.col("first_value")
     growth = F.when((span > 0) & (F.col("first_value") > 0) & (F.col("last_value") > 0), F.pow(F.col("last_value") / F.col("first_value"), 1 / span) - 1)

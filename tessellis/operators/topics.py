@@ -46,15 +46,28 @@ def descriptions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(label, " ".join(texts)) for label, texts in SEEDS.items() if label != "other"], "code string, text string")
 
 
+#: The rarity of up to so many words is broadcast (some 40 MB); more are joined by shuffle.
+BROADCAST_WORDS = 400_000
+
+
 def similarity(rows: DataFrame, key: str, described: DataFrame) -> DataFrame:
-    """Cosine of the weighted words of each text and each description that share a word."""
-    words = rows.select(key, F.explode(tokens(F.coalesce("text", F.lit("")))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    """Cosine of the weighted words of each text and each description that share a word.
+
+    The descriptions are few: their weights become one array a word, and a text's norm and products with all of them one aggregation.
+    """
+    codes = sorted(r["code"] for r in described.select("code").collect())
+    text = tokens(F.coalesce("text", F.lit("")))
+    total = rows.agg(F.count("*")).scalar()
+    rarity = rows.select(F.explode(F.array_distinct(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarity = rarity.select("token", (F.log((total + 1) / (F.col("n") + 1)) + 1).alias("idf"))
     mine = described.select("code", F.explode(tokens(F.col("text"))).alias("token")).groupBy("code", "token").agg(F.count("*").alias("dtf"))
-    total = rows.count()
-    rarity = words.groupBy("token").agg((F.log((F.lit(total) + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    weighted = words.join(rarity, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     theirs = mine.join(rarity, "token", "left").withColumn("dw", F.col("dtf") * F.coalesce("idf", F.lit(1.0)))
-    lengths = theirs.groupBy("code").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("length"))
-    dots = weighted.join(F.broadcast(theirs.drop("idf")), "token").groupBy(key, "code").agg(F.sum(F.col("w") * F.col("dw")).alias("dot"))
-    return dots.join(norms, key).join(F.broadcast(lengths), "code").select(key, "code", F.round(F.col("dot") / (F.col("norm") * F.col("length")), 4).alias("score"))
+    lengths = {r["code"]: r["length"] for r in theirs.groupBy("code").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("length")).collect()}
+    weights = theirs.groupBy("token").agg(*(F.sum(F.when(F.col("code") == c, F.col("dw"))).alias(f"_w{k}") for k, c in enumerate(codes)))
+    words = rows.select(key, F.explode(text).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
+    known = F.broadcast(rarity) if rarity.count() <= BROADCAST_WORDS else rarity
+    weighted = words.join(known, "token").join(F.broadcast(weights), "token", "left").withColumn("w", F.col("tf") * F.col("idf"))
+    summed = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col(f"_w{k}")).alias(f"_d{k}") for k in range(len(codes))))
+    pairs = F.array(*(F.struct(F.lit(c).alias("code"), (F.col(f"_d{k}") / lengths[c]).alias("dot")) for k, c in enumerate(codes)))
+    each = summed.select(key, "norm", F.explode(F.filter(pairs, lambda x: x["dot"].isNotNull())).alias("x"))
+    return each.select(key, "x.code", F.round(F.col("x.dot") / F.col("norm"), 4).alias("score"))

@@ -71,6 +71,20 @@ def test_outliers_need_four_values_and_a_spread(spark):
     assert [(r.k, r.value) for r in consistency.outliers(rows, ["k"]).collect()] == [("a", 100.0)]
 
 
+def test_quantiles_are_exact_with_ties_and_many_values(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(4)
+    groups = {"many": [r.gauss(0, 1) for _ in range(30_000)], "ties": [1.0] * 9_000 + [2.0] * 9_001 + [0.5], "two": [3.0, 1.0], "one": [7.0], None: [2.0, None, 4.0, 9.0], "six": [6.0, 5.0, 4.0, 3.0, 2.0, 1.0]}
+    rows = spark.createDataFrame([(k, v) for k, values in groups.items() for v in values] + [("none", None)], "k string, v double")
+    shares = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {x.k: [x[f"q{k}"] for k in range(len(shares))] for x in consistency.exact_quantiles(rows, ["k"], "v", shares).collect()}
+    want = {k: np.quantile([v for v in values if v is not None], shares).tolist() for k, values in groups.items()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def test_numbers_follow_the_order_over_many_partitions(spark):
     rows = spark.range(500).select((500 - F.col("id")).alias("k")).repartition(7)
     got = repository.numbered(rows, ["k"], "OBS", after=10).collect()
