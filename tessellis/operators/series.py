@@ -30,22 +30,16 @@ def indicator_statistics(series: DataFrame) -> DataFrame:
     """Per series: number, span, extremes with their years, mean, median, deviation, overall change and growth rate."""
     at = F.struct("year", "confidence", "fact_id")
     exact = F.sum(F.col("value").cast("decimal(18,4)")).cast("double") / F.count("value")
-    rows = series.groupBy(*SERIES).agg(
-        F.count("*").alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.min(F.struct("value", "year")).getField("year").alias("least_year"), F.max(F.struct(F.col("value"), -F.col("year"))).getField("col2").alias("_most_year"),
-        exact.alias("mean"), F.round(F.stddev_pop("value"), 3).alias("deviation"),
-        F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"),
-    )
-    middle = exact_quantiles(series, SERIES, "value", [0.5]).select(*(F.col(k).alias(f"_{k}") for k in SERIES), F.col("q0").alias("median"))
-    same = F.lit(True)
-    for k in SERIES:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    rows = rows.join(middle, same, "left").drop(*(f"_{k}" for k in SERIES))
+    also = [
+        F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.min("value").alias("least"), F.max("value").alias("most"),
+        F.min(F.struct("value", "year")).getField("year").alias("least_year"), (-F.max(F.struct(F.col("value"), -F.col("year"))).getField("col2")).alias("most_year"),
+        exact.alias("mean"), F.round(F.stddev_pop("value"), 3).alias("deviation"), F.min_by("value", at).alias("first_value"), F.max_by("value", at).alias("last_value"),
+    ]
+    rows = exact_quantiles(series, SERIES, "value", [0.5], also).withColumnRenamed("q0", "median")
     span = F.col("last_year") - F.col("first_year")
     change = F.col("last_value") - F.col("first_value")
     growth = F.when((span > 0) & (F.col("first_value") > 0) & (F.col("last_value") > 0), F.pow(F.col("last_value") / F.col("first_value"), 1 / span) - 1)
-    out = rows.withColumns({"most_year": -F.col("_most_year"), "total_change": F.round(change, 6), "total_percent": F.round(F.try_divide(change, F.abs("first_value")) * 100, 6), "growth_rate": F.round(growth * 100, 6)})
-    return out.drop("_most_year")
+    return rows.withColumns({"total_change": F.round(change, 6), "total_percent": F.round(F.try_divide(change, F.abs("first_value")) * 100, 6), "growth_rate": F.round(growth * 100, 6)})
 
 
 def observed(facts: DataFrame) -> DataFrame:

@@ -58,8 +58,8 @@ def similarity(rows: DataFrame, key: str, described: DataFrame) -> DataFrame:
     codes = sorted(r["code"] for r in described.select("code").collect())
     text = tokens(F.coalesce("text", F.lit("")))
     total = rows.agg(F.count("*")).scalar()
-    rarity = rows.select(F.explode(F.array_distinct(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rarity = rarity.select("token", (F.log((total + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+    counted = rows.select(F.explode(F.array_distinct(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    rarity = counted.select("token", (F.log((total + 1) / (F.col("n") + 1)) + 1).alias("idf")).persist()  # the vocabulary, looked at three times
     mine = described.select("code", F.explode(tokens(F.col("text"))).alias("token")).groupBy("code", "token").agg(F.count("*").alias("dtf"))
     theirs = mine.join(rarity, "token", "left").withColumn("dw", F.col("dtf") * F.coalesce("idf", F.lit(1.0)))
     lengths = {r["code"]: r["length"] for r in theirs.groupBy("code").agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("length")).collect()}
