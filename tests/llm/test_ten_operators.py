@@ -65,6 +65,14 @@ def test_every_side_of_a_dialogue(spark):
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_repeated_turns_and_very_long_ones_all_show(spark):
+    turns = [(1, 1, "ann", "Hi")] * 3 + [(1, 2, "bob", "x" * 300_000), (1, 3, "bob", ""), (1, 3, "ann", "")]
+    got = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.side for r in got} == {"ann", "bob"} and all(r.n_turns == 6 for r in got)
+    for r in got:
+        assert r.n_own == (4 if r.side == "ann" else 2) and r.text.count("Hi<|end|>") == 3 and "x" * 300_000 in r.text
+
+
 # 3 quality rules
 
 
@@ -81,6 +89,14 @@ def test_quality_matches_the_plain_version(spark, frame, corpus):
     assert kept.columns == frame(rows).columns and kept.count() == sum(r[8] for r in want)
 
 
+def test_quality_of_very_long_texts(spark, frame):
+    rows = [(1, " ".join(f"w{k % 7919}x{k % 31}" for k in range(60_000))), (2, "a b c " * 20_000), (3, "x" * 300_000), (3, "x" * 300_000)]
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    got = rows_of(quality.quality_rules(frame(rows), labels), *columns)
+    assert got == sorted((r[:7] for r in plain.quality(rows, {1}, quality.BUCKETS, quality.PRIOR, quality.THRESHOLD)), key=str)
+
+
 def test_quality_without_labels_or_documents(spark, frame, corpus):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.quality_rules(frame(corpus(30)), none).collect()
@@ -116,6 +132,24 @@ def test_repeats_in_texts_longer_than_a_part(frame, corpus, monkeypatch):
     assert {k: sorted(v) for k, v in found.items()} == want
 
 
+def test_repeats_within_and_between_very_long_texts(frame):
+    """Passages at known places of random texts that are cut into parts, one of them across a part's border; those in the first text share the signs around them too."""
+    import random
+
+    r = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    text = lambda n: "".join(r.choices(letters, k=n))
+    passage, short, base = text(1000), text(399), [text(1_300_000), text(50_000), text(700)]
+    at = [300_000, 2 * repeats._CHUNK - 500, 1_200_000]
+    for k in sorted(at, reverse=True):
+        base[0] = base[0][:k] + "#" + passage + "%" + base[0][k:]
+    base[1] = base[1][:100] + "@" + passage + "~" + short + "^" + base[1][100:]
+    base[2] = base[2] + "=" + short + "!"
+    got = {x.doc_id: x for x in repeats.repeat_digests(frame(list(enumerate(base)))).collect()}
+    assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans) for k in range(3)] == [(len(base[0]), 3006, 3), (len(base[1]), 1000, 1), (len(base[2]), 0, 0)]
+    assert got[0].kept_sha256 == plain.sha(base[0].replace(f"#{passage}%", "")) and got[1].kept_sha256 == plain.sha(base[1].replace(passage, ""))
+
+
 # 5 HTML extraction
 
 PAGE = "<html><head><title>T</title></head><body><nav><a>Home</a></nav>{}<article><h1>Head &amp; &eacute;</h1><p>One\n two<b> three</b><br>four<p>{}<div class='share'>Share</div></article><div class='ad'>Buy</div><section id=comments><p>First!</p></section><footer>F</footer></body></html>"
