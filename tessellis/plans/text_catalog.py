@@ -147,11 +147,14 @@ def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.clauses(rows, ["doc_id", "nr"])
 
 
-@query("SELECT source, doc_id FROM (SELECT source, doc_id, max(CASE WHEN lang = 'es' AND n_chars > 5000 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS stop FROM documents) WHERE stop = 0")
+@query(
+    r"""SELECT conv_id, turn FROM (SELECT conv_id, turn, max(CASE WHEN conv_id % 2 = 0 AND turn = 2 OR regexp_matches(coalesce(text, ''), '(?i)^\s*(annex|appendix|bibliograph|references|références)') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS stop
+FROM conversations) WHERE stop = 0"""
+)
 def page_stop_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources read as documents, their texts as pages: long Spanish ones stand for the annex."""
-    rows = _documents(spark, sf_dir).select("source", "doc_id", F.when((F.col("lang") == "es") & (F.col("n_chars") > 5000), "Annex").otherwise("text").alias("body"))
-    return segment.before_back_matter(rows, "source", "doc_id", "body").select("source", "doc_id")
+    """Conversations read as documents, their turns as pages: the third turn of every other one stands for the annex."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when((F.col("conv_id") % 2 == 0) & (F.col("turn") == 2), "Annex").otherwise(F.col("text")).alias("body"))
+    return segment.before_back_matter(rows, "conv_id", "turn", "body").select("conv_id", "turn")
 
 
 @query(

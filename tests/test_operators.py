@@ -97,6 +97,11 @@ def test_pages_and_back_matter(spark):
     assert [(r.id, r.page, r.body) for r in got.orderBy("id", "nr").collect() if r.body] == [(1, 1, "one"), (2, None, "no marks")]
 
 
+def test_pages_without_text_stay(spark):
+    rows = spark.createDataFrame([(1, 0, None), (1, 1, "one"), (1, 2, " Références"), (1, 3, "after"), (2, 0, "")], "id int, nr int, body string")
+    assert sorted((r.id, r.nr) for r in segment.before_back_matter(rows, "id", "nr", "body").collect()) == [(1, 0), (1, 1), (2, 0)]
+
+
 def test_text_helpers(spark):
     row = spark.createDataFrame([("Le 3-03-2021, voir https://www.Example.org/x\nUn titre assez long pour compter",)], "t string").select(
         text.first_date(F.col("t")).alias("d"), text.url_host(F.col("t")).alias("h"), text.language(F.col("t")).alias("l"), text.arabic_share(F.lit("مرحبا abc")).alias("a")
