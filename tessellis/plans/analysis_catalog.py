@@ -266,3 +266,30 @@ def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = rows.filter("fact_type <> 'estimate'").withColumns({"table_source": F.when(F.col("part") % 2 == 0, "t"), "sector": F.when(F.col("part") % 3 == 0, "s")})
     coverage = rows.select("document_id", F.when(F.col("value_type") == "level", "extracted").otherwise("unresolved").alias("outcome"))
     return evaluation.document_summary(events, coverage)
+
+
+PAGES = ["12\n \n  Rapport   annuel\nLe taux a atteint {A} %.", "7\nAnnexe 2\n{A}", "Sommaire\n{A}", "Bibliographie", "{A}. " + "Le texte du rapport. " * 5 + "Annexe A : tableau {B}", "Annexe technique : {A} est ici avant quatre-vingts."]
+
+
+@query(
+    f"""WITH {FIGURES_SQL}, s AS (SELECT *, l_linenumber % 6 AS k, format('{{:.1f}}', a) AS a_ FROM f) SELECT l_orderkey, l_linenumber, CASE k WHEN 0 THEN 'Rapport annuel' WHEN 1 THEN 'Annexe 2' WHEN 2 THEN 'Sommaire' WHEN 3 THEN 'Bibliographie'
+  WHEN 4 THEN a_ || '. ' || repeat('Le texte du rapport. ', 5) || 'Annexe A : tableau ' || format('{{:.1f}}', b) ELSE 'Annexe technique : ' || a_ || ' est ici avant quatre-vingts.' END AS heading,
+  k = 2 AS front, k IN (1, 3, 5) AS back, CASE WHEN k = 4 THEN length(a_ || '. ') + 104 END AS cut_at FROM s"""
+)
+def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page printed from every line: its heading, whether it is front or back matter, and where an annex within it is cut off."""
+    rows, page = _figures(spark, sf_dir).select(*LINE, _printed(PAGES).alias("p")), F.col("p")
+    cut = segment.without_inline_annex(page)
+    return rows.select(*LINE, segment.heading_of(page).alias("heading"), segment.is_front_matter(page).alias("front"), segment.is_back_matter(page).alias("back"), F.when(cut != page, F.length(cut)).cast("long").alias("cut_at"))
+
+
+@query(
+    """WITH {facts}, g AS (SELECT document_id, indicator, value, unit, year, row_number() OVER (PARTITION BY document_id, indicator ORDER BY value, unit NULLS FIRST, year) AS nr FROM facts),
+p AS (SELECT document_id, indicator, value, unit, CASE WHEN part % 2 = 0 THEN year ELSE year + 1 END AS year, row_number() OVER (PARTITION BY document_id, indicator ORDER BY value, unit NULLS FIRST, CASE WHEN part % 2 = 0 THEN year ELSE year + 1 END) AS nr FROM facts WHERE part % 5 <> 0)
+SELECT round(avg((p.nr IS NOT NULL AND g.value IS NOT DISTINCT FROM p.value)::INT), 6) AS value, round(avg((p.nr IS NOT NULL AND g.unit IS NOT DISTINCT FROM p.unit)::INT), 6) AS unit, round(avg((p.nr IS NOT NULL AND g.year IS NOT DISTINCT FROM p.year)::INT), 6) AS year FROM g LEFT JOIN p USING (document_id, indicator, nr)"""
+)
+def component_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of gold facts whose counterpart of the same document and indicator agrees in value, unit and year."""
+    rows = facts(spark, sf_dir)
+    found = rows.filter("part % 5 <> 0").withColumn("year", F.when(F.col("part") % 2 == 0, F.col("year")).otherwise(F.col("year") + 1))
+    return evaluation.component_accuracy(rows, found, ["document_id", "indicator"], ["value", "unit", "year"])

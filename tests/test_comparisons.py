@@ -70,3 +70,18 @@ def test_gold_of_other_documents_is_no_gold(spark):
     found = spark.createDataFrame([("d1", 1), ("d2", 2)], "document_id string, n int")
     assert [r.n for r in evaluation.within_gold(gold, found).collect()] == [1]
     assert evaluation.within_gold(gold, found.filter("n = 2")).count() == 1
+
+
+def test_pages_by_their_headings(spark):
+    pages = ["\r\n 3 \r\n Copyright 2020", "Annexes", "", None, "a" * 90 + " Appendix B: more", "exclusion des annexes " * 9]
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, p string").orderBy("k")
+    p = F.col("p")
+    got = rows.select("k", segment.heading_of(p).alias("h"), segment.is_front_matter(p).alias("f"), segment.is_back_matter(p).alias("b"), segment.without_inline_annex(p).alias("c")).orderBy("k").collect()
+    assert [(r.f, r.b) for r in got] == [(True, False), (False, True)] + [(False, False)] * 4
+    assert got[0].h == "Copyright 2020" and got[3].c is None and got[4].c == "a" * 90 and [got[k].c for k in (0, 1, 2, 5)] == [pages[k] for k in (0, 1, 2, 5)]
+
+
+def test_gold_without_counterpart_agrees_in_nothing(spark):
+    gold = spark.createDataFrame([(1, "a", None), (2, "b", None)], "k int, v string, u string")
+    row = evaluation.component_accuracy(gold, gold.filter("k = 1"), ["k"], ["v", "u"]).first()
+    assert (row.v, row.u) == (0.5, 0.5)
