@@ -236,7 +236,24 @@ def topic_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.predict(model, _documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"])
 
 
-@query()
+_SCORES_SQL = (
+    "WITH described(code, text) AS (VALUES " + ", ".join("('%s', '%s')" % (c, t.replace("'", "''")) for c, t in topics.DESCRIPTIONS.items()) + r"""),
+p AS (SELECT 'd' AS side, code, NULL::BIGINT AS doc_id, lower(text) AS t FROM described UNION ALL SELECT 'q', '', doc_id, lower(text) FROM documents WHERE length(trim(text, E' \t\n\r')) >= 5),
+w AS (SELECT side, code, doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') AS ws FROM p),
+wg AS (SELECT side, code, doc_id, 'w' AS kind, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w),
+x AS (SELECT side, code, doc_id, ' ' || unnest(string_split_regex(t, '\s+')) || ' ' AS x FROM p),
+cg AS (SELECT side, code, doc_id, 'c' AS kind, unnest(list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n))) AS gram FROM x, (VALUES (3), (4), (5)) l(n) WHERE length(x) > 2),
+tf AS (SELECT side, code, doc_id, kind, gram, count(*) AS n FROM (FROM wg UNION ALL FROM cg) GROUP BY ALL),
+idf AS (SELECT kind, gram, ln(17.0 / (1 + count(*))) + 1 AS idf FROM tf WHERE side = 'd' GROUP BY ALL),
+raw AS (SELECT side, code, doc_id, kind, gram, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (kind, gram)),
+unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY side, code, doc_id, kind)) AS u FROM raw),
+kinds AS (SELECT doc_id, count(DISTINCT kind) AS n FROM raw WHERE side = 'q' GROUP BY doc_id),
+dots AS (SELECT q.doc_id, d.code, sum(q.u * d.u) AS dot FROM unit q JOIN unit d USING (kind, gram) WHERE q.side = 'q' AND d.side = 'd' GROUP BY ALL)
+SELECT p.doc_id, c.code, round(coalesce(dot / sqrt(2.0 * k.n), 0), 4) AS score FROM p JOIN described c ON p.side = 'q' LEFT JOIN kinds k ON k.doc_id = p.doc_id LEFT JOIN dots ON dots.doc_id = p.doc_id AND dots.code = c.code"""
+)
+
+
+@query(_SCORES_SQL)
 def semantic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topics.similarity(_documents(spark, sf_dir).select("doc_id", "text"), "doc_id", topics.descriptions(spark))
 

@@ -37,6 +37,6 @@ def test_query_matches_sql(spark, duck, name):
 
 
 def test_queries_without_sql_have_tests_of_their_own():
-    golden = {"numeric_mentions", "clause_split", "semantic_scores", "topic_classifier"}  # test_golden.py: golden rows, brute force, held-out labels
+    golden = {"numeric_mentions", "clause_split", "topic_classifier"}  # test_golden.py: golden rows, brute force, held-out labels
     whole = {"extract_facts", "numeric_coverage"}  # test_whole_tables.py: facts put among the documents
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == golden | whole
