@@ -72,7 +72,7 @@ def _row_sql(nr: int, value: str, unit: str | None, scale: str | None, currency:
 )
 def line_bound_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence with two or three values printed from every line, and its values bound again to years and countries."""
-    return comparisons.bound_values(_figures(spark, sf_dir).select(*LINE, _printed(BOUND).alias("clause")), LINE)
+    return comparisons.bound_values(_figures(spark, sf_dir).select(*LINE, _printed(BOUND).alias("clause")), LINE).drop("start", "back")
 
 
 COMPARISONS = [

@@ -126,6 +126,25 @@ def test_words_become_lines(spark):
     assert [r.text for r in got.orderBy("line").collect()] == ["Hello world", "End"]
 
 
+SEVERAL = {
+    "In France, exports rose by 3% and 4% in 2020 and 2021, respectively.": [("FRA", 3.0, "%", 2020), ("FRA", 4.0, "%", 2021)],
+    "Unemployment reached 8% , 9% and 10% in France, Spain and Italy respectively in 2022.": [("FRA", 8.0, "%", 2022), ("ESP", 9.0, "%", 2022), ("ITA", 10.0, "%", 2022)],
+    "In Tunisia inflation reached 5.7% in 2021, against 5.0% a year earlier.": [("TUN", 5.7, "%", 2021), ("TUN", 5.0, "%", 2020)],
+    "En Tunisie, le chômage était de 15% en 2021. Il était de 14.2% deux ans auparavant.": [("TUN", 15.0, "%", 2021), ("TUN", 14.2, "%", 2019)],
+    "In Morocco the public debt went from 70% to 80% between 2019 and 2020.": [("MAR", 70.0, "%", 2019), ("MAR", 80.0, "%", 2020)],
+    "In Egypt growth of between 2 and 3% is expected in 2023.": [("EGY", 2.0, "%", 2023), ("EGY", 3.0, "%", 2023)],
+    "In Algeria growth was -1.5% in 2020.": [("DZA", -1.5, "%", 2020)],
+}
+
+
+def test_several_values_of_a_sentence(spark):
+    rows = spark.createDataFrame([(t, "", t) for t in SEVERAL], "document_id string, title string, text string")
+    got = {t: [] for t in SEVERAL}
+    for r in extraction.extract_facts(rows).orderBy("sentence_nr", "clause_nr", "at").collect():
+        got[r.document_id].append((r.iso3, r.value, r.unit, r.year))
+    assert got == SEVERAL
+
+
 def test_topics_of_their_own_seeds(spark):
     model = topics.train(topics.seeds(spark))
     first = topics.predict(model, topics.seeds(spark), ["label", "text"], best=1)
