@@ -240,7 +240,7 @@ _SCORES_SQL = (
     "WITH described(code, text) AS (VALUES " + ", ".join("('%s', '%s')" % (c, t.replace("'", "''")) for c, t in topics.DESCRIPTIONS.items()) + r"""),
 p AS (SELECT 'd' AS side, code, NULL::BIGINT AS doc_id, lower(text) AS t FROM described UNION ALL SELECT 'q', '', doc_id, lower(text) FROM documents WHERE length(trim(text, E' \t\n\r')) >= 5),
 w AS (SELECT side, code, doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') AS ws FROM p),
-wg AS (SELECT side, code, doc_id, 'w' AS kind, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS gram FROM w),
+wg AS (SELECT side, code, doc_id, 'w' AS kind, unnest(list_concat(ws, list_filter(list_transform(list_zip(ws, ws[2:]), lambda z: z[1] || ' ' || z[2]), lambda g: g IS NOT NULL))) AS gram FROM w),
 x AS (SELECT side, code, doc_id, ' ' || unnest(string_split_regex(t, '\s+')) || ' ' AS x FROM p),
 cg AS (SELECT side, code, doc_id, 'c' AS kind, unnest(list_transform(range(1, length(x) - n + 2), lambda i: substr(x, i, n))) AS gram FROM x, (VALUES (3), (4), (5)) l(n) WHERE length(x) > 2),
 tf AS (SELECT side, code, doc_id, kind, gram, count(*) AS n FROM (FROM wg UNION ALL FROM cg) GROUP BY ALL),
