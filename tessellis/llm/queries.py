@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellis.llm import bpe, chat, decontamination, html, jaccard, linededup, quality, repeats, sharding, warc
+from tessellis.llm import alignment, bpe, chat, decontamination, fim, html, jaccard, linededup, mixing, quality, repeats, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.alignment_digests(_table(spark, sf_dir, "documents"), one, public_tokenizers.PATTERN, two)
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_shares(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_slot_table": op1_slot_table,
     "op2_perspectives": op2_perspectives,
@@ -67,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_archives": op8_warc_archives,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_line_dedup": op10_line_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_source_mix": op12_source_mix,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -76,4 +92,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc_archives": warc.ORACLE,
     "op9_jaccard_join": jaccard.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op12_source_mix": mixing.ORACLE,
+    "op13_fill_in_middle": fim.ORACLE,
 }
