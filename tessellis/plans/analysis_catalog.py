@@ -293,3 +293,30 @@ def component_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = facts(spark, sf_dir)
     found = rows.filter("part % 5 <> 0").withColumn("year", F.when(F.col("part") % 2 == 0, F.col("year")).otherwise(F.col("year") + 1))
     return evaluation.component_accuracy(rows, found, ["document_id", "indicator"], ["value", "unit", "year"])
+
+
+_NEAR_KEYS, _NEAR = ["document_id", "indicator"], ["value", "unit", "year"]
+
+
+def _nearest_sql() -> str:
+    """The rounds of pairing as a chain of tables, one for each set of parts that agree."""
+    keys, parts = ", ".join(_NEAR_KEYS), ", ".join(_NEAR)
+    steps, last = [], "r8"
+    for mask in range(7, -1, -1):
+        group = ", ".join([*_NEAR_KEYS, *(p for k, p in enumerate(_NEAR) if mask >> (2 - k) & 1)])
+        order = ", ".join(f"{p} NULLS FIRST" for p in _NEAR)
+        before = f"OVER (PARTITION BY {group} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        both = f"least(sum(g) OVER (PARTITION BY {group}), sum(p) OVER (PARTITION BY {group}))"
+        steps.append(f"s{mask} AS (SELECT *, greatest(least(g, {both} - coalesce(sum(g) {before}, 0)), 0) AS n{mask}, greatest(least(p, {both} - coalesce(sum(p) {before}, 0)), 0) AS q{mask} FROM {last}), r{mask} AS (SELECT * REPLACE (g - n{mask} AS g, p - q{mask} AS p) FROM s{mask})")
+        last = f"r{mask}"
+    shares = ", ".join(f"round(({' + '.join(f'sum(n{m})' for m in range(8) if m >> (2 - k) & 1)}) / (sum(g) + {' + '.join(f'sum(n{m})' for m in range(8))}), 6) AS {p}" for k, p in enumerate(_NEAR))
+    sides = f"SELECT {keys}, {parts}, 1 AS g, 0 AS p FROM facts UNION ALL SELECT {keys}, value, unit, CASE WHEN part % 2 = 0 THEN year ELSE year + 1 END, 0, 1 FROM facts WHERE part % 5 <> 0"
+    return f"WITH {{facts}}, r8 AS (SELECT {keys}, {parts}, sum(g)::DOUBLE AS g, sum(p)::DOUBLE AS p FROM ({sides}) GROUP BY ALL), " + ", ".join(steps) + f" SELECT {shares} FROM r0"
+
+
+@query(_nearest_sql())
+def nearest_component_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of gold facts whose nearest counterpart of the same document and indicator agrees, each counterpart used once."""
+    rows = facts(spark, sf_dir)
+    found = rows.filter("part % 5 <> 0").withColumn("year", F.when(F.col("part") % 2 == 0, F.col("year")).otherwise(F.col("year") + 1))
+    return evaluation.nearest_accuracy(rows, found, _NEAR_KEYS, _NEAR)

@@ -90,7 +90,7 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(CONTRADICTION_SQL + " SELECT country, severity, kind, count(*) AS n FROM c GROUP BY ALL")
 def contradiction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistency.contradictions(facts(spark, sf_dir), PART_MONTH).groupBy("country", "severity", "kind").agg(F.count("*").alias("n"))
+    return consistency.contradiction_classes(facts(spark, sf_dir), PART_MONTH).groupBy("country", "severity", "kind").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
 
 
 @query(
