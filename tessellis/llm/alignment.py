@@ -26,7 +26,7 @@ from tessellis.llm.common import id_and_text, spread_join, written
 #: With no more pairs than this their counts (17 bytes a pair) go to every task; beyond it they are joined by shuffle.
 MAX_PAIRS = 2_000_000
 #: So many texts are looked up together, so many new pieces encoded in one string; a task remembers so many pieces of up to so many characters.
-CHUNK, BLOCK, MAX_PIECES, LONGEST = 256, 64, 300_000, 40
+CHUNK, BLOCK, MAX_PIECES, LONGEST = 256, 64, 100_000, 40
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -268,7 +268,7 @@ def _linked(base: DataFrame, a_path: str, pattern: str, b_path: str, kind: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(a_path, pattern, b_path)
-        for batch in batches:
+        for batch in (b.slice(k, CHUNK) for b in batches for k in range(0, b.num_rows, CHUNK)):
             counts, digests, links = np.zeros((len(COUNTS), batch.num_rows), "i8"), [""] * batch.num_rows, []
             for k, (figures, groups, packed) in enumerate(aligner.aligned(batch.column("text").to_pylist())):
                 counts[:, k] = figures
@@ -312,9 +312,9 @@ def alignment_digests(df: DataFrame, a_path: str, pattern: str, b_path: str, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n, best = sent.value
-        for batch in batches:
+        for batch in (b.slice(k, CHUNK) for b in batches for k in range(0, b.num_rows, CHUNK)):
             links = batch.column("links")
-            at = np.searchsorted(known, links.flatten().to_numpy())
+            at = np.searchsorted(known, links.flatten().to_numpy()).astype("i4")
             ends = np.cumsum(links.value_lengths().to_numpy())
             total = lambda x: pa.array(np.diff(np.concatenate([[0], np.cumsum(x[at], dtype="i8")])[ends], prepend=0), pa.int64())  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], total(best), total(n)], [*batch.schema.names[:-1], "n_best", "count_sum"])
