@@ -54,17 +54,29 @@ def test_every_row_gets_its_shard_and_hot_keys_are_spread(spark, frame):
 def test_every_side_of_a_dialogue(spark):
     turns = [(1, 0, "system", "S"), (1, 1, "ann", "Hi"), (1, 2, "bob", "Yo"), (1, 3, "ann", None), (2, 0, "system", "alone"), (3, None, None, "x"), (3, 70, "bob", "y"), (None, 0, "ann", "lost"), (None, 0, "ann", "gone")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS part", "2 AS side")
-    got = {(r.conv_id, r.side, r.part, r.text): r for r in chat.rotate_perspectives(df).collect()}
+    got = {(r.conv_id, r.side, r.text): r for r in chat.rotate_perspectives(df).collect()}
     text = "<|system|>\nS<|end|>\n<|assistant|>\nHi<|end|>\n<|user:bob|>\nYo<|end|>\n<|assistant|>\n<|end|>\n"
-    row = got[1, "ann", 0, text]
+    row = got[1, "ann", text]
     assert (row.n_turns, row.n_own) == (4, 2)
     spans = [tuple(map(int, s.split(":"))) for s in row.mask.split(",")]
     assert [text[a:b] for a, b in spans] == ["Hi<|end|>\n", "<|end|>\n"]
     assert {k[:2] for k in got} == {(1, "ann"), (1, "bob"), (3, "unknown"), (3, "bob"), (None, "ann")}
-    assert len([k for k in got if k[0] is None]) == 2 and len([k for k in got if k[0] == 3]) == 4
+    assert len([k for k in got if k[0] is None]) == 2 and len([k for k in got if k[0] == 3]) == 2
+    assert got[3, "bob", "<|assistant|>\ny<|end|>\n<|user:unknown|>\nx<|end|>\n"].mask == "14:23"
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
 
 
+def test_a_long_dialogue_is_one_row_a_side(spark):
+    for n in (65, 1000):
+        turns = [(7, k, "ab"[k % 2], f"t{k}") for k in range(n)] + [(7, None, "a", "late"), (7, None, "b", "late")]
+        got = {r.side: r for r in chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+        assert set(got) == {"a", "b"}
+        for side, row in got.items():
+            own = [f"t{k}<|end|>\n" for k in range(n) if "ab"[k % 2] == side] + ["late<|end|>\n"]
+            spans = [tuple(map(int, s.split(":"))) for s in row.mask.split(",")]
+            assert [row.text[a:b] for a, b in spans] == own and (row.n_turns, row.n_own) == (n + 2, len(own))
+
+
 def test_repeated_turns_and_very_long_ones_all_show(spark):
     turns = [(1, 1, "ann", "Hi")] * 3 + [(1, 2, "bob", "x" * 300_000), (1, 3, "bob", ""), (1, 3, "ann", "")]
     got = chat.rotate_perspectives(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
