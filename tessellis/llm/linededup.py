@@ -58,11 +58,12 @@ class LineRuns:
 
     def add(self, batch: DataFrame, min_docs: int = MIN_DOCS) -> None:
         """Takes in (h1, h2, doc_id) of a batch of smaller ids than all before, but for its settled lines."""
+        once = batch.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("n"))
+        fresh = once.groupBy(*KEY).agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("top_doc"))  # a row a line, so no line is a hot key of the join
         known = self.lines()
         if known is not None:
-            batch = batch.join(known.filter(F.col("n_docs") >= min_docs), KEY, "left_anti")
-        once = batch.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("n"))
-        self._write(once.groupBy(*KEY).agg(F.sum("n").alias("n_docs"), F.max("doc_id").alias("top_doc")), 0)
+            fresh = fresh.join(known.filter(F.col("n_docs") >= min_docs), KEY, "left_anti")
+        self._write(fresh, 0)
 
 
 def _lines(text: Column) -> Column:
