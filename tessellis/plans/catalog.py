@@ -15,6 +15,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+#: Rows given here with the SQL of their answers: they read no table, so they are held in the tests and are no queries.
+GOLDEN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+GOLDEN_SQL: dict[str, str] = {}
+
+
+def golden(sql: str) -> Callable:
+    def register(make: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        GOLDEN[make.__name__], GOLDEN_SQL[make.__name__] = make, sql
+        return make
+
+    return register
+
+
 def query(sql: str | None = None) -> Callable:
     """Registers a query under its name; {facts} in the SQL stands for the common table of facts."""
 
@@ -152,7 +165,7 @@ def money_scale_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUNDING_ROWS = [(1, "3.2"), (1, "3.24"), (2, "3.2"), (2, "3.27"), (3, "10"), (3, "9.5"), (3, "10.4"), (4, "7"), (5, "-1.25"), (5, "-1.3"), (6, "2,5"), (6, "2,50")]
 
 
-@query(
+@golden(
     "WITH r(k, raw) AS (VALUES "
     + ", ".join(f"({k}, '{v}')" for k, v in ROUNDING_ROWS)
     + """), p AS (SELECT k, replace(raw, ',', '.')::DECIMAL(28,8) AS v, min(length(regexp_extract(raw, '[.,](\\d+)$', 1))) OVER (PARTITION BY k) AS d FROM r)
@@ -345,7 +358,7 @@ def gold_match_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONS = [("v1", 0.70), ("v2", 0.75), ("v3", 0.72), ("v4", 0.9)]
 
 
-@query("WITH r(version, f1) AS (VALUES ('v1', 0.70::DOUBLE), ('v2', 0.75), ('v3', 0.72), ('v4', 0.9)) SELECT version, f1, round((f1 - lag(f1) OVER (ORDER BY version)) * 100, 4) AS gain_points, round((f1 - lag(f1) OVER (ORDER BY version)) / lag(f1) OVER (ORDER BY version) * 100, 4) AS gain_relative FROM r")
+@golden("WITH r(version, f1) AS (VALUES ('v1', 0.70::DOUBLE), ('v2', 0.75), ('v3', 0.72), ('v4', 0.9)) SELECT version, f1, round((f1 - lag(f1) OVER (ORDER BY version)) * 100, 4) AS gain_points, round((f1 - lag(f1) OVER (ORDER BY version)) / lag(f1) OVER (ORDER BY version) * 100, 4) AS gain_relative FROM r")
 def benchmark_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gains(spark.createDataFrame(VERSIONS, "version string, f1 double"), "version")
 
@@ -365,7 +378,7 @@ SCORE_ROWS = [
 _SCORE_VALUES = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in row) + ")" for row in SCORE_ROWS)
 
 
-@query(
+@golden(
     f"WITH r(k, i, a, m, p, l, s, t, c, critical, conflict, review, sure) AS (VALUES {_SCORE_VALUES}"
     + """), x AS (SELECT *, round(least(greatest(coalesce(i, 0) * 0.17 + coalesce(a, 0) * 0.16 + coalesce(m, 0) * 0.12 + coalesce(p, 0) * 0.17 + coalesce(l, 0) * 0.10 + coalesce(s, 0) * 0.16 + coalesce(t, 0) * 0.08 + coalesce(c, 0) * 0.04
   - CASE WHEN critical THEN 0.30 ELSE 0 END - CASE WHEN conflict THEN 0.15 ELSE 0 END - CASE WHEN review THEN 0.10 ELSE 0 END, 0.05), 0.98), 4) AS score,
@@ -392,3 +405,27 @@ def shifted_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH {facts} SELECT DISTINCT series_id, iso3, indicator, unit, scale, currency FROM facts")
 def series_id_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).select("series_id", "iso3", "indicator", "unit", "scale", "currency").distinct()
+
+
+@query(
+    """WITH {facts}, p AS (SELECT country, indicator, part, year, value, CASE WHEN fact_id % 2 = 0 THEN 1 ELSE 0 END AS places FROM facts WHERE value IS NOT NULL AND year IS NOT NULL),
+v AS (SELECT *, CASE WHEN places = 1 THEN round(value::DECIMAL(28,8), 1) ELSE round(value::DECIMAL(28,8), 0) END::DECIMAL(28,8) AS printed, min(places) OVER (PARTITION BY country, indicator, part, year) AS least FROM p)
+SELECT country, indicator, part, year, count(DISTINCT printed) AS n_values, count(DISTINCT round(printed * pow(10, least)::DECIMAL(18,0), 0)) <= 1 AS equivalent FROM v GROUP BY ALL"""
+)
+def fact_rounding_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every fact printed with one decimal or none: whether those of a key and year agree at the coarser place."""
+    rows = facts(spark, sf_dir).filter("value IS NOT NULL AND year IS NOT NULL")
+    exact = F.col("value").cast("decimal(28,8)")
+    printed = F.when(F.pmod("fact_id", F.lit(2)) == 0, F.round(exact, 1).cast("decimal(28,1)").cast("string")).otherwise(F.round(exact, 0).cast("decimal(28,0)").cast("string"))
+    keys = ["country", "indicator", "part", "year"]
+    return consistency.rounding_groups(rows.select(*keys, F.replace(printed, F.lit("."), F.lit(",")).alias("raw")), keys)
+
+
+@query(
+    """WITH {facts}, y AS (SELECT year, round(count(*) FILTER (WHERE status = 'validated') / count(*), 6) AS f1 FROM facts WHERE year IS NOT NULL GROUP BY year)
+SELECT year, f1, round((f1 - lag(f1) OVER (ORDER BY year)) * 100, 4) AS gain_points, round((f1 - lag(f1) OVER (ORDER BY year)) / nullif(lag(f1) OVER (ORDER BY year), 0) * 100, 4) AS gain_relative FROM y"""
+)
+def yearly_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of validated facts a year, taken as the score of that year's version, and its gains."""
+    rows = facts(spark, sf_dir).filter("year IS NOT NULL").groupBy("year").agg(F.round(F.count_if(F.col("status") == "validated") / F.count("*"), 6).alias("f1"))
+    return evaluation.gains(rows, "year")

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tessellis.functions import codes, text
 from tessellis.operators import consistency, extraction, lexicon, segment, tables, topics
 from tessellis.plans.adapters import facts, table
-from tessellis.plans.catalog import query
+from tessellis.plans.catalog import golden, query
 from tessellis.sources import ingest
 
 
@@ -81,7 +81,7 @@ def first_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 NUMBERS = {"1 234,5": 1234.5, "1.234,5": 1234.5, "1,234.5": 1234.5, "12": 12.0, "3,25": 3.25, "1.234.567": 1234567.0, "2.5": 2.5, "-7,1": -7.1, "45 %": 45.0, "abc": None, "٣٫٥": 3.5, "1.234": 1234.0}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v}::DOUBLE)" for k, v in NUMBERS.items()) + ") t(raw, value)")
+@golden("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else v}::DOUBLE)" for k, v in NUMBERS.items()) + ") t(raw, value)")
 def parse_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in NUMBERS], "raw string").select("raw", text.parse_number(F.col("raw")).alias("value"))
 
@@ -95,7 +95,7 @@ def numeric_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PERIODS = {"2020": (2020, None, None, None), "2015-2018": (2015, 2018, None, None), "2021-Q3": (2021, None, 3, None), "2019-M11": (2019, None, None, 11), "soon": (None,) * 4, "2020-Q9": (None,) * 4}
 
 
-@query("SELECT label, year::INT AS year, last_year::INT AS last_year, quarter::INT AS quarter, month::INT AS month FROM (VALUES " + ", ".join("('" + k + "', " + ", ".join("NULL" if x is None else str(x) for x in v) + ")" for k, v in PERIODS.items()) + ") t(label, year, last_year, quarter, month)")
+@golden("SELECT label, year::INT AS year, last_year::INT AS last_year, quarter::INT AS quarter, month::INT AS month FROM (VALUES " + ", ".join("('" + k + "', " + ", ".join("NULL" if x is None else str(x) for x in v) + ")" for k, v in PERIODS.items()) + ") t(label, year, last_year, quarter, month)")
 def parse_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(k,) for k in PERIODS], "label string")
     return rows.select("label", *(c.alias(n) for n, c in codes.parse_period(F.col("label")).items()))
@@ -104,7 +104,7 @@ def parse_period(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNITS = {"pour cent": "%", " Percent": "%", "dinars": "TND", "milliards": "billion", "points": "point", "tonnes": "tonnes", "euro": "EUR"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in UNITS.items()) + ") t(unit, canonical)")
+@golden("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in UNITS.items()) + ") t(unit, canonical)")
 def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(k,) for k in UNITS], "unit string").select("unit", codes.normalize_unit(F.col("unit")).alias("canonical"))
 
@@ -112,7 +112,7 @@ def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATUSES = {("Validé", False): "validated", ("pending", False): "review", ("Rejeté", True): "rejected", ("", True): "review", ("other", False): "validated"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(r).lower()}, '{v}')" for (k, r), v in STATUSES.items()) + ") t(label, needs_review, status)")
+@golden("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {str(r).lower()}, '{v}')" for (k, r), v in STATUSES.items()) + ") t(label, needs_review, status)")
 def status_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(list(STATUSES), "label string, needs_review boolean")
     return rows.select("label", "needs_review", codes.status_of(F.col("label"), F.col("needs_review")).alias("status"))
@@ -141,7 +141,12 @@ def sentence_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.sentences(rows, "key", "text").select("key.conv_id", "key.turn", "nr", segment.rejection_reason(F.col("sentence")).alias("reason"))
 
 
-@query()
+@query(
+    SENTENCES_SQL.replace("conv_id, turn", "doc_id").replace("conversations", "documents")
+    + r""", w AS (SELECT doc_id, nr, sentence, list_filter(string_split_regex(sentence, '(?i)\s*;\s*|,?\s+(?:tandis que|alors que|while|whereas|et que)\s+'), lambda x: length(x) >= 12) AS parts FROM s WHERE length(sentence) >= 12),
+k AS (SELECT doc_id, nr, CASE WHEN regexp_matches(sentence, '(?i)respecti(vely|vement)') OR len(parts) = 0 THEN [sentence] ELSE parts END AS parts FROM w)
+SELECT doc_id, nr, unnest(range(len(parts)))::INT AS clause_nr, unnest(parts) AS clause FROM k"""
+)
 def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segment.sentences(_documents(spark, sf_dir), "doc_id", "text")
     return segment.clauses(rows, ["doc_id", "nr"])
@@ -170,7 +175,7 @@ def csv_schema_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 WIDE = [("Tunisia", 2019, "6,7", "15.2"), ("Tunisia", 2020, "5.6", "n.d."), ("Morocco", 2019, "0,2", "9")]
 
 
-@query("SELECT * FROM (VALUES ('Tunisia', 2019::BIGINT, 'inflation', 6.7::DOUBLE), ('Tunisia', 2019, 'unemployment', 15.2), ('Tunisia', 2020, 'inflation', 5.6), ('Morocco', 2019, 'inflation', 0.2), ('Morocco', 2019, 'unemployment', 9)) t(country, year, indicator, value)")
+@golden("SELECT * FROM (VALUES ('Tunisia', 2019::BIGINT, 'inflation', 6.7::DOUBLE), ('Tunisia', 2019, 'unemployment', 15.2), ('Tunisia', 2020, 'inflation', 5.6), ('Morocco', 2019, 'inflation', 0.2), ('Morocco', 2019, 'unemployment', 9)) t(country, year, indicator, value)")
 def wide_table_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame(WIDE, "country string, year bigint, inflation string, unemployment string")
     return tables.unpivoted(rows, ["country", "year"], ["inflation", "unemployment"])
@@ -182,17 +187,17 @@ BLOCKS = [(1, [["", "2019", "2020"], ["Textile", "", ""], ["Exports", "1", "2"],
 GRID = "id int, rows array<array<string>>"
 
 
-@query("SELECT * FROM (VALUES (1, 1, 'Tunisie', 'PIB', -21.6::DOUBLE, '%', 2020, NULL::INT, 2, NULL::INT), (1, 2, 'Maroc', 'Inflation', 0.2, '%', 2019, NULL, NULL, NULL)) t(id, r, country, indicator, value, unit, year, last_year, quarter, month)")
+@golden("SELECT * FROM (VALUES (1, 1, 'Tunisie', 'PIB', -21.6::DOUBLE, '%', 2020, NULL::INT, 2, NULL::INT), (1, 2, 'Maroc', 'Inflation', 0.2, '%', 2019, NULL, NULL, NULL)) t(id, r, country, indicator, value, unit, year, last_year, quarter, month)")
 def long_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.long_table(tables.cells(spark.createDataFrame(LONG, GRID), ["id"]), ["id"])
 
 
-@query("SELECT * FROM (VALUES (1, 'Textile', 'Exports', '2019', 1.5::DOUBLE), (1, 'Textile', 'Exports', '2020', 2), (1, 'Textile', 'Imports', '2020', 3), (1, 'Food', 'Exports', '2019', 4), (1, 'Food', 'Imports', '2020', 5.25)) t(id, sector, indicator, period, value)")
+@golden("SELECT * FROM (VALUES (1, 'Textile', 'Exports', '2019', 1.5::DOUBLE), (1, 'Textile', 'Exports', '2020', 2), (1, 'Textile', 'Imports', '2020', 3), (1, 'Food', 'Exports', '2019', 4), (1, 'Food', 'Imports', '2020', 5.25)) t(id, sector, indicator, period, value)")
 def grouped_columns_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.grouped_columns(tables.cells(spark.createDataFrame(GROUPED, GRID), ["id"]), ["id"])
 
 
-@query("SELECT * FROM (VALUES (1, 'Textile', 'Exports', '2019', 1::DOUBLE), (1, 'Textile', 'Exports', '2020', 2), (1, 'Textile', 'Imports', '2019', 3.5), (1, 'Food', 'Exports', '2019', 7), (1, 'Food', 'Exports', '2020', 8)) t(id, sector, indicator, period, value)")
+@golden("SELECT * FROM (VALUES (1, 'Textile', 'Exports', '2019', 1::DOUBLE), (1, 'Textile', 'Exports', '2020', 2), (1, 'Textile', 'Imports', '2019', 3.5), (1, 'Food', 'Exports', '2019', 7), (1, 'Food', 'Exports', '2020', 8)) t(id, sector, indicator, period, value)")
 def sector_blocks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.sector_blocks(tables.cells(spark.createDataFrame(BLOCKS, GRID), ["id"]), ["id"])
 
@@ -214,7 +219,7 @@ def name_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 CURRENCY_ROWS = [("le dinar a baissé", "TUN", "TND"), ("le dinar a baissé", "DZA", "DZD"), ("le dinar a baissé", None, None), ("100 EUR", "TUN", "EUR"), ("cinq dirhams", None, "MAD"), ("rien", "TUN", None)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else f"'{x}'" for x in row) + ")" for row in CURRENCY_ROWS) + ") t(sentence, iso3, currency)")
+@golden("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else f"'{x}'" for x in row) + ")" for row in CURRENCY_ROWS) + ") t(sentence, iso3, currency)")
 def currency_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([r[:2] for r in CURRENCY_ROWS], "sentence string, iso3 string")
     return rows.select("sentence", "iso3", lexicon.currency_of(F.col("sentence"), F.col("iso3")).alias("currency"))
