@@ -61,6 +61,7 @@ NEUTRAL = frozenset(
 )
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+UNCLOSED = re.compile(r"<!--|<!\[CDATA\[")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
 MAIN, INSIDE, SHAPE = 0, 1, 2
@@ -120,11 +121,14 @@ class Page:
         return {(h, kind) for h, kind, chars in self.found if 2 * chars <= self.stack[0].chars}
 
     def _read(self, html: str) -> None:
-        at = 0
-        while (token := TOKEN.search(html, at)) is not None:
+        at, last = 0, html.rfind(">") + 1  # no tag ends after the last ">", so nothing is looked for there but what needs no end
+        while (token := TOKEN.search(html, at, last)) is not None:
             if token.start() > at:
                 self._text(html[at : token.start()])
             at = token.end()
+            if UNCLOSED.match(token[0]) and not (token[0].endswith("-->") and len(token[0]) > 6 if token[0].startswith("<!--") else token[0].endswith("]]>")):
+                at = token.start()  # it goes on to the end of the page
+                break
             end, tag, rest = (token[1], token[2], token[3]) if token[2] else (token[4], token[5], token[6])
             if not tag:
                 if token[0].startswith("<![CDATA["):
@@ -136,7 +140,7 @@ class Page:
             if end:
                 self._end(tag)
             elif tag in RAW:
-                stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at)
+                stop = re.compile(f"</{re.escape(tag)}\\b[^>]*>", re.I).search(html, at, last)
                 at = stop.end() if stop else len(html)
                 if tag not in DROPPED:
                     self._text(html[token.end() : stop.start() if stop else at])
@@ -145,7 +149,10 @@ class Page:
             else:
                 self._start(tag, rest)
         if at < len(html):
-            self._text(html[at:])
+            opened = UNCLOSED.search(html, at)
+            self._text(html[at : opened.start() if opened else len(html)])
+            if opened and opened[0] != "<!--":
+                self._text(html[opened.end() :])
 
     def _text(self, raw: str) -> None:
         self.pieces.append(raw)

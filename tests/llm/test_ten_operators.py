@@ -234,6 +234,18 @@ def test_menus_whose_text_varies_go_by_their_shape(spark):
     assert {x.text.count("entry") for x in html.extract_text(df.limit(4)).collect()} == {1, 2, 3, 4}
 
 
+def test_malformed_and_very_long_pages_take_one_pass(frame, spark):
+    import time
+
+    for piece in ("<a ", '<a "', "<a '", "<!x ", "</script ", "<script></script ", "<p>x<b ", "< ", "&amp;<"):
+        began = time.time()
+        html.Page(piece * 200_000)
+        html.Page("<p>a</p> > " + piece * 200_000)
+        assert time.time() - began < 60, piece
+    assert html.Page("<p>a <b> c</b> <a b").text() == "a c <a b" and html.Page("<p>a<!-- b <i>c</i> d").text() == "a" and html.Page("<p>a<![CDATA[b <i> c").text() == "ab <i> c"
+    assert html.Page("<p>a<!--> b --> c").text() == "a c" and html.Page("<p>a <script>x</script y").text() == "a"
+
+
 # 6 decontamination
 
 
