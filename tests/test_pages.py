@@ -61,3 +61,13 @@ def test_grids_are_recognised_repaired_and_read(spark):
         "sector_average": {("Textile et", n, n, 0.5, 2000, 2010, n, n), ("Mines", n, n, 0.7, 2000, 2010, n, n)},
     }
     assert tables.structured_facts(cells.limit(0), ["id"]).count() == 0
+
+
+def test_a_header_is_the_longest_name_in_it(spark):
+    from pyspark.sql import functions as F
+
+    from tessellis.operators.lexicon import INDICATORS
+
+    heads = {"Dette publique (% PIB)": "PUBLIC_DEBT", "Déficit budgétaire": "BUDGET_DEFICIT", "Taux d'inflation, moyenne": "INFLATION", "Pays": None, None: None}
+    rows = spark.createDataFrame([(h,) for h in heads], "h string").withColumn("c", tables.concept(F.col("h"), INDICATORS)).collect()
+    assert {r.h: r.c for r in rows} == heads
