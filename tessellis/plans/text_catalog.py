@@ -212,7 +212,7 @@ SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE two = 'de la') AS de_la FRO
 )
 def name_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = lexicon.aliases(spark, NAMES)
-    found = lexicon.mentions(_documents(spark, sf_dir), ["doc_id"], "text", names, 2)
+    found = lexicon.mentions(_documents(spark, sf_dir), ["doc_id"], "text", names)
     return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("code") == "C").alias("de_la"))
 
 
