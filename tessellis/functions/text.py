@@ -60,7 +60,7 @@ def first_date(text: Column) -> Column:
 
 def title_line(text: Column) -> Column:
     """The first of the first eight lines with text that has 15 to 180 characters and is no address."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     fit = F.filter(F.slice(lines, 1, 8), lambda x: (F.length(x) >= 15) & (F.length(x) <= 180) & ~x.rlike(r"(?i)^https?://"))
     return F.get(fit, 0)
 

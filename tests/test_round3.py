@@ -10,3 +10,8 @@ def test_sentences_keep_their_digits_and_lose_their_blanks(spark):
     rows = spark.createDataFrame([(1, "169.122.221.182 is where it was.  169 of them were there. \n\n  2020 was the year of it  ")], "k int, t string")
     got = [r.sentence for r in segment.sentences(rows, "k", "t").orderBy("nr").collect()]
     assert got == ["169.122.221.182 is where it was.", "169 of them were there.", "2020 was the year of it"]
+
+
+def test_a_title_keeps_its_digits_and_loses_its_blanks(spark):
+    rows = spark.createDataFrame([("  \n 1 report of the year \nmore",), ("short\nshort\n2 short 222222222222\n",)], "t string")
+    assert [r.t for r in rows.select(text.title_line(F.col("t")).alias("t")).collect()] == ["1 report of the year", "2 short 222222222222"]
