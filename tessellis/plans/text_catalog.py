@@ -372,11 +372,12 @@ def _printed(value: str) -> Column:
     """WITH {facts} SELECT id, country, indicator, value, unit, year, last_year, quarter, month FROM (SELECT fact_id AS id, country, indicator, value, unit, year, NULL::INT AS last_year, quarter, month FROM facts)"""
 )
 def fact_long_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fact printed as the only line of a table with a header, and read again."""
+    """Every fact printed as the line of a table with a header, and read again; lines of one order that share number and price share an id, so a table."""
     period = codes.period_key(F.col("year"), F.col("quarter"), F.col("month"))
     head = [F.lit(x) for x in ("Pays", "Période", "Indicateur", "Valeur", "Unité")]
     body = [F.col("country"), period, F.col("indicator"), _printed("value"), F.col("unit")]
-    grids = facts(spark, sf_dir).select(F.col("fact_id").alias("id"), F.array(F.array(*head), F.array(*body)).alias("rows"))
+    lines = facts(spark, sf_dir).groupBy(F.col("fact_id").alias("id")).agg(F.collect_list(F.array(*body)).alias("body"))
+    grids = lines.select("id", F.concat(F.array(F.array(*head)), "body").alias("rows"))
     return tables.long_table(tables.cells(grids, ["id"]), ["id"]).drop("r")
 
 
