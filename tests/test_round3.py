@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessellis.functions import text
-from tessellis.operators import segment
+from tessellis.operators import comparisons, segment
 from tessellis.plans import catalog, text_catalog  # noqa: F401
 from tests.test_catalog import plain
 
@@ -46,3 +46,13 @@ def test_a_title_keeps_its_digits_and_loses_its_blanks(spark):
 def test_facts_with_the_same_id_stay_apart(spark, doubled):
     got = plain(catalog.QUERIES["fact_long_tables"](spark, doubled).toPandas())
     assert len(got) == 12_000 and got == by_sql(doubled, "fact_long_tables")
+
+
+def test_values_of_a_clause_are_read_once_a_row(spark):
+    """No expression that reads a clause stands twice in the plan, where each step of a lambda would work it out again."""
+    rows = spark.createDataFrame([("Growth was 3 % in 2020, 4\ufffe % \uffffand 5 % later.",)], "clause string")
+    bound = comparisons.bound_values(rows, [])
+    assert bound._jdf.queryExecution().optimizedPlan().toString().count("per cent") == 1
+    assert [(r.start, r.value, r.year) for r in bound.orderBy("nr").collect()] == [(11, 3.0, 2020), (34, 5.0, 2020)]
+    facts = spark.createDataFrame([("level", 5.0, None, "It rose to 5 % from 3 %.")], "value_type string, value double, reference_value double, sentence string")
+    assert comparisons.expanded_comparisons(facts)._jdf.queryExecution().optimizedPlan().toString().count("per cent") == 1
