@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellis.operators.lexicon import COUNTRIES
-from tessellis.operators.mentions import named, worked_out
+from tessellis.operators.mentions import first_named, worked_out
 
 LEAP, TOUCH, RTL_SHARE = 2.5, 0.8, 0.35
 
@@ -63,42 +63,55 @@ def heading_rank(line: Column) -> Column:
 
     A heading is up to 110 characters and ten words, starts with a capital or a number, and has no mark at its end and no measured number.
     """
-    text = F.trim(line)
-    shape = (F.length(text) <= 110) & (F.size(F.split(text, r"\s+")) <= 10) & ~text.rlike(r"[.!?;:,،؟]$") & ~text.rlike(r"\d\s*(?:%|percent|pour cent|milli)") & text.rlike(r"^(?:\d+(?:\.\d+)*[.)]?\s+)?[\p{Lu}\p{IsArabic}]")
-    number = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)[.)]?\s", 1)
+    return _trimmed_rank(F.trim(line))
+
+
+def _trimmed_rank(text: Column) -> Column:
+    # one pattern: a capital after the number, up to ten words, no mark at the end, no measured number
+    looks = r"(?s)^(?=(?:\d+(?:\.\d+)*[.)]?\s+)?[\p{Lu}\p{IsArabic}])(?!(?:\S*+\s++){10})(?!.*[.!?;:,،؟]$)(?!.*\d\s*(?:%|percent|pour cent|milli))"
+    shape = (F.length(text) <= 110) & text.rlike(looks)
+    number = F.when((text >= "0") & (text < ":"), F.regexp_extract(text, r"^(\d+(?:\.\d+)*)[.)]?\s", 1)).otherwise("")
+    chapter = F.lower(F.substring(text, 1, 1)).isin("c", "p") & text.rlike(r"(?iu)^(?:chapitre|chapter|partie|part)\s")
     capitals = (text == F.upper(text)) & (text != F.lower(text))
-    rank = F.when(text.rlike(r"(?iu)^(?:chapitre|chapter|partie|part)\s"), 1).when(number != "", F.size(F.split(number, r"\."))).when(capitals, 1).otherwise(9)
+    rank = F.when(chapter, 1).when(number != "", F.size(F.split(number, r"\."))).when(capitals, 1).otherwise(9)
     return F.when((text != "") & shape, rank)
 
 
-def scoped_sentences(docs: DataFrame, least: int = 12) -> DataFrame:
-    """(document_id, nr, sentence, heading, chapter, country) of (document_id, text): sentences put together over lines, under the headings that hold for them.
+def scoped_sentences(docs: DataFrame, least: int = 12, key: str = "document_id") -> DataFrame:
+    """(key, nr, sentence, heading, chapter, country) of (key, text): sentences put together over lines, under the headings that hold for them.
 
     A heading ends the sentence before it and holds until the next of its rank or a higher one; ``chapter`` is that of rank 1, ``heading`` the
     nearest, ``country`` the one named by the nearest heading that names one and still holds. Empty lines end sentences; pages do not.
+    Lines are told apart within the row of their text; only headings and the prose after them become rows, for one window.
     """
-    lines = docs.select("document_id", F.posexplode(F.split(F.regexp_replace("text", r"\[\[PAGE \d+\]\]", "\n"), "\r\n?|\n")).alias("line", "text"))
+    marked = F.contains("text", F.lit("[[PAGE ")) | F.contains("text", F.lit("\r"))
+    lines = F.split(F.when(marked, F.regexp_replace("text", r"\r?\[\[PAGE \d+\]\]|\r\n?", "\n")).otherwise(F.col("text")), "\n")
+    rows = worked_out(docs.filter("text IS NOT NULL").select(key, "text"), text=F.transform(lines, lambda x: F.trim(x)))
+    rows = worked_out(rows, _shapes=F.transform("text", _trimmed_rank))
+
+    def rank(shape: Column, i: Column) -> Column:
+        """A line that goes on in the next one, or goes on from a line of prose that has not ended, is prose whatever its shape."""
+        goes_on = F.get("_shapes", i + 1).isNull() & F.get("text", i + 1).rlike(r"^[\p{Ll}\d]")
+        went_on = F.get("text", i - 1).rlike(r"(?s)^.*(?:[\p{Ll},]|-)$") & (F.get("_shapes", i - 1).isNull() | F.get("text", i).rlike(r"^\p{Ll}"))
+        return F.when(shape.isNotNull() & ~F.coalesce(goes_on, F.lit(False)) & ~F.coalesce(went_on, F.lit(False)), shape)
+
+    rows = worked_out(rows, _ranks=F.transform("_shapes", rank)).drop("_shapes")
+    ends = F.filter(F.sequence(F.lit(0), F.size("text") - 1), lambda i: F.get("_ranks", i).isNotNull() | (F.get("text", i) == ""))
+    rows = worked_out(rows, _ends=F.concat(F.array(F.lit(-1)), ends))
+    until = lambda k: F.coalesce(F.get("_ends", k + 1), F.size("text"))
+    parts = F.transform("_ends", lambda at, k: F.struct(at.alias("line"), F.get("_ranks", at).alias("rank"), F.get("text", at).alias("title"), F.array_join(F.slice("text", at + 2, until(k) - at - 1), " ").alias("prose")))
+    rows = rows.select(key, F.inline(parts)).filter("rank IS NOT NULL OR prose <> ''")
+
     names = {name: iso3 for name, (_, iso3) in COUNTRIES.items()}
-    lines = worked_out(lines, text=F.trim("text"))
-    lines = worked_out(lines, rank=heading_rank(F.col("text")))
-    lines = worked_out(lines, place=F.when(F.col("rank").isNotNull(), F.get(named(F.col("text"), names), 0)["code"]))
-    # a line that goes on in the next one, or goes on from a line of prose that has not ended, is prose whatever its shape
-    order = W.partitionBy("document_id").orderBy("line")
-    beside = lambda at, c: at(c).over(order)
-    goes_on = beside(F.lead, "rank").isNull() & beside(F.lead, "text").rlike(r"^[\p{Ll}\d]")
-    went_on = beside(F.lag, "text").rlike(r"(?:[\p{Ll},]|-)$") & (beside(F.lag, "rank").isNull() | F.col("text").rlike(r"^\p{Ll}"))
-    lines = lines.withColumn("rank", F.when(~F.coalesce(goes_on, F.lit(False)) & ~F.coalesce(went_on, F.lit(False)), F.col("rank")))
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    head = F.when(F.col("rank").isNotNull(), F.struct("line", "rank", F.col("text").alias("title"), "place"))
-    lines = lines.withColumns({f"_h{r}": F.last(F.when(F.col("rank") == r, head), ignorenulls=True).over(so_far) for r in (1, 2, 3, 9)})
+    whole = F.when(F.contains("prose", F.lit("- ")), F.regexp_replace("prose", r"(\p{Ll})- (\p{Ll})", "$1$2")).otherwise(F.col("prose"))
+    told = F.filter(F.split(F.regexp_replace(whole, r"([.!?])\s+(?=[\p{Lu}\p{IsArabic}\d])", "$1\n"), "\n"), lambda x: F.length(x) >= least)  # lines hold no \n
+    rows = worked_out(rows, place=F.when(F.col("rank").isNotNull(), first_named(F.col("title"), names)))
+    rows = rows.withColumn("_told", told).drop("prose")
+    so_far = W.partitionBy(key).orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    head = F.struct("line", "title", "place")
+    rows = rows.withColumns({f"_h{r}": F.last(F.when(F.col("rank") == r, head), ignorenulls=True).over(so_far) for r in (1, 2, 3, 9)} | {"_nr": F.sum(F.size("_told")).over(so_far) - F.size("_told")})
     # a heading holds while no heading of a higher rank stands after it
     holds = {r: F.when(F.greatest(F.lit(-1), F.lit(-1), *(F.coalesce(F.col(f"_h{s}.line"), F.lit(-1)) for s in (1, 2, 3, 9) if s < r)) < F.col(f"_h{r}.line"), F.col(f"_h{r}")) for r in (1, 2, 3, 9)}
-    lines = lines.withColumns({
-        "chapter": F.col("_h1.title"), "heading": F.coalesce(*(holds[r]["title"] for r in (9, 3, 2, 1))), "country": F.coalesce(*(holds[r]["place"] for r in (9, 3, 2, 1))),
-        "_block": F.sum(((F.col("rank").isNotNull()) | (F.col("text") == "")).cast("int")).over(so_far),
-    })
-    prose = lines.filter("rank IS NULL AND text <> ''").groupBy("document_id", "_block").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), " ").alias("_text"), F.first("heading").alias("heading"), F.first("chapter").alias("chapter"), F.first("country").alias("country"))
-    whole = F.regexp_replace("_text", r"(\p{Ll})- (\p{Ll})", "$1$2")
-    rows = prose.select("document_id", "_block", "heading", "chapter", "country", F.posexplode(F.split(whole, r"(?<=[.!?])\s+(?=[\p{Lu}\p{IsArabic}\d])")).alias("_at", "sentence")).filter(F.length("sentence") >= least)
-    nr = F.row_number().over(W.partitionBy("document_id").orderBy("_block", "_at")) - 1
-    return rows.select("document_id", nr.alias("nr"), "sentence", "heading", "chapter", "country")
+    nearest = lambda field: F.coalesce(*(holds[r][field] for r in (9, 3, 2, 1))).alias
+    rows = rows.select(key, "_nr", nearest("title")("heading"), F.col("_h1.title").alias("chapter"), nearest("place")("country"), F.posexplode("_told").alias("_at", "sentence"))
+    return rows.select(key, (F.col("_nr") + F.col("_at")).cast("int").alias("nr"), "sentence", "heading", "chapter", "country")

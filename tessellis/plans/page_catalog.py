@@ -60,8 +60,9 @@ def order_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = F.floor(F.col("nr") / 4)
     head = F.when(form == 0, F.concat(F.lit("Chapter "), pick(block), F.lit("\n\n"))).when(form == 1, "Prices and costs\n").when(form == 3, F.concat(F.lit("1.1 Outlook of "), pick(F.col("s")), F.lit("\n"))).otherwise("")
     rows = _lines(spark, sf_dir).select("id", "nr", F.concat(head, sentence).alias("t"))
-    docs = rows.groupBy(F.col("id").cast("string").alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nr", "t"))), lambda x: x["t"]), "\n").alias("text"))
-    return pages.scoped_sentences(docs)
+    docs = rows.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("nr", "t"))), lambda x: x["t"]), "\n").alias("text"))
+    told = pages.scoped_sentences(docs, key="id")  # by the number of the order: one shuffle for all steps
+    return told.select(F.col("id").cast("string").alias("document_id"), "nr", "sentence", "heading", "chapter", "country")
 
 
 _SHAPED_SQL = """WITH x AS (SELECT l_suppkey AS id, l_suppkey % 4 AS k, l_returnflag AS sector, l_linestatus AS indicator, year(l_shipdate)::INT AS year, l_quantity AS q FROM lineitem)

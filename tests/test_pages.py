@@ -71,3 +71,16 @@ def test_a_header_is_the_longest_name_in_it(spark):
     heads = {"Dette publique (% PIB)": "PUBLIC_DEBT", "Déficit budgétaire": "BUDGET_DEFICIT", "Taux d'inflation, moyenne": "INFLATION", "Pays": None, None: None}
     rows = spark.createDataFrame([(h,) for h in heads], "h string").withColumn("c", tables.concept(F.col("h"), INDICATORS)).collect()
     assert {r.h: r.c for r in rows} == heads
+
+
+def test_headings_take_one_shuffle_and_windows_over_parts_only(spark):
+    text = "1. Overview\nThe year was good\nfor all. [[PAGE 2]]\r\n\r\nPART TWO\r[[PAGE 3]]Chapter France\nPrices -\nrose by 5. They eased in\nMay. It\nPrices in Morocco\n1.2 Outlook of Tunisia\nIt goes up- ward here.\n"
+    docs = spark.createDataFrame([(k, text) for k in range(3)] + [(3, None), (4, "")], "id long, text string")
+    got = pages.scoped_sentences(docs, key="id")
+    want = [
+        (0, "The year was good for all.", "1. Overview", "1. Overview", None), (1, "Prices - rose by 5.", "Chapter France", "Chapter France", "FRA"),
+        (2, "They eased in May.", "Chapter France", "Chapter France", "FRA"), (3, "It goes upward here.", "1.2 Outlook of Tunisia", "Chapter France", "TUN"),
+    ]
+    assert sorted(map(tuple, got.collect())) == [(k, *row) for k in range(3) for row in want]
+    plan = docs.transform(pages.scoped_sentences, key="id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
