@@ -35,13 +35,15 @@ def page_text(words: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
         inside = F.exists("_boxes", lambda b: (middle >= b["x0"]) & (middle <= b["x1"]) & (F.col("y") >= b["top"]) & (F.col("y") <= b["bottom"]))
         rows = rows.join(held, ["document_id", "page"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")
     page = W.partitionBy("document_id", "page")
-    letters = lambda p: F.sum(F.regexp_count("word", F.lit(p))).over(page)
     leap = F.coalesce((F.col("y") - F.lag("y").over(page.orderBy("y", "x0")) > LEAP).cast("int"), F.lit(0))
-    rows = rows.withColumns({"_leap": leap, "_rtl": letters("[؀-ۿ]") > RTL_SHARE * letters(r"\p{L}")})
-    rows = rows.withColumn("line", F.sum("_leap").over(page.orderBy("y", "x0").rowsBetween(W.unboundedPreceding, 0)))
-    at = F.when(F.col("_rtl"), -F.col("x1")).otherwise(F.col("x0"))
-    end = F.when(F.col("_rtl"), -F.col("x0")).otherwise(F.col("x1"))
-    lines = rows.groupBy("document_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), (-end).alias("_long"), end.alias("end"), F.trim("word").alias("word")))).alias("_w"))
+    rows = rows.withColumn("_leap", leap).withColumn("line", F.sum("_leap").over(page.orderBy("y", "x0").rowsBetween(W.unboundedPreceding, 0)))
+    lines = rows.groupBy("document_id", "page", "line").agg(F.collect_list(F.struct("x0", "x1", F.trim("word").alias("word"))).alias("_w"))
+    # letters are counted a line at a time, so that only lines pass the window over their page
+    joined = F.array_join(F.transform("_w", lambda x: x["word"]), " ")
+    letters = lambda p: F.sum(F.regexp_count(joined, F.lit(p))).over(page)
+    lines = lines.withColumn("_rtl", letters("[؀-ۿ]") > RTL_SHARE * letters(r"\p{L}"))
+    placed = lambda at, end: F.transform("_w", lambda x: F.struct(at(x).alias("at"), (-end(x)).alias("_long"), end(x).alias("end"), x["word"].alias("word")))
+    lines = lines.withColumn("_w", F.sort_array(F.when(F.col("_rtl"), placed(lambda x: -x["x1"], lambda x: -x["x0"])).otherwise(placed(lambda x: x["x0"], lambda x: x["x1"]))))
     kind = "struct<done:array<string>,word:string,at:double,end:double>"
     nothing = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("end")).cast(kind)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellis.operators import pages, tables
+from tessellis.operators.mentions import worked_out
 from tessellis.plans.adapters import table
 from tessellis.plans.catalog import query
 from tessellis.plans.discourse_catalog import LINES_SQL, _lines
@@ -21,10 +22,10 @@ SELECT doc_id::VARCHAR AS document_id, (row_number() OVER (PARTITION BY doc_id O
 )
 def document_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document printed as placed words, some of them in two overlapping layers, with a table beside each line, and read again."""
-    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("nr", "t"))
-    words = lines.select("document_id", "nr", F.posexplode(F.filter(F.split("t", r"[ \t\n\r\x0B\f]+"), lambda w: w != "")).alias("at", "word"))
-    rtl = F.sum(F.regexp_count("word", F.lit("[؀-ۿ]"))).over(W.partitionBy("document_id")) > pages.RTL_SHARE * F.sum(F.regexp_count("word", F.lit(r"\p{L}"))).over(W.partitionBy("document_id"))
-    words = words.withColumn("_rtl", rtl)
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    rtl = F.regexp_count("text", F.lit("[؀-ۿ]")) > pages.RTL_SHARE * F.regexp_count("text", F.lit(r"\p{L}"))  # blanks are no letters
+    lines = worked_out(documents, _rtl=rtl).select("document_id", "_rtl", F.posexplode(F.split("text", "\n")).alias("nr", "t"))
+    words = lines.select("document_id", "nr", "_rtl", F.posexplode(F.filter(F.split("t", r"[ \t\n\r\x0B\f]+"), lambda w: w != "")).alias("at", "word"))
     start, size = F.col("at") * 1000.0, F.length("word")
     whole = F.struct(start.alias("x0"), (start + size).alias("x1"), F.col("word").alias("word"))
     cut = F.ceil(size / 2).cast("int")
@@ -36,7 +37,7 @@ def document_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.concat(F.when(layered, F.array(left, right)).otherwise(F.array(whole)), F.when(F.col("at") == 0, F.array(cell)).otherwise(F.array().cast("array<struct<x0:double,x1:double,word:string>>")))
     placed = words.select("document_id", F.lit(1).alias("page"), F.col("nr").cast("double").alias("_nr"), "_rtl", F.explode(parts).alias("p")).select("document_id", "page", (F.col("_nr") * 12).alias("y"), "_rtl", "p.*")
     turned = placed.withColumns({"x0": F.when(F.col("_rtl") & (F.col("x0") >= 0), -F.col("x1") - 1e9).otherwise(F.col("x0")), "x1": F.when(F.col("_rtl") & (F.col("x0") >= 0), -F.col("x0") - 1e9).otherwise(F.col("x1"))})
-    boxes = turned.select("document_id", "page").distinct().select("*", F.lit(-600.0).alias("x0"), F.lit(-300.0).alias("x1"), F.lit(-1.0).alias("top"), F.lit(1e12).alias("bottom"))
+    boxes = documents.select("document_id", F.lit(1).alias("page")).distinct().select("*", F.lit(-600.0).alias("x0"), F.lit(-300.0).alias("x1"), F.lit(-1.0).alias("top"), F.lit(1e12).alias("bottom"))
     text = pages.page_text(turned.drop("_rtl"), boxes)
     return text.select("document_id", (F.row_number().over(W.partitionBy("document_id").orderBy("line")) - 1).alias("line"), "text")
 

@@ -84,3 +84,13 @@ def test_headings_take_one_shuffle_and_windows_over_parts_only(spark):
     assert sorted(map(tuple, got.collect())) == [(k, *row) for k in range(3) for row in want]
     plan = docs.transform(pages.scoped_sentences, key="id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
+def test_letters_of_pages_are_not_counted_by_windows_over_words(spark):
+    from tessellis.plans import page_catalog
+
+    plan = page_catalog.document_page_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 4  # leap, line, letters by line, number; words were counted in two more, one of them for the boxes
+    words = [("d", 1, 80.0, 100.0, 10.0, "بلغ"), ("d", 1, 40.0, 70.0, 10.0, "التضخم"), ("d", 1, 0.0, 9.0, 50.0, "abc"), ("d", 1, 10.0, 19.0, 50.0, "de"), ("e", 1, 0.0, 9.0, 1.0, "بلغ"), ("e", 1, 9.0, 90.0, 9.0, "abcdefgh")]
+    got = pages.page_text(spark.createDataFrame(words, "document_id string, page int, x0 double, x1 double, y double, word string")).orderBy("document_id", "line")
+    assert [r.text for r in got.collect()] == ["بلغ التضخم", "de abc", "بلغ", "abcdefgh"]
