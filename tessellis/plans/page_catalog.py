@@ -24,7 +24,8 @@ def document_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document printed as placed words, some of them in two overlapping layers, with a table beside each line, and read again."""
     documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     rtl = F.regexp_count("text", F.lit("[؀-ۿ]")) > pages.RTL_SHARE * F.regexp_count("text", F.lit(r"\p{L}"))  # blanks are no letters
-    lines = worked_out(documents, _rtl=rtl).select("document_id", "_rtl", F.posexplode(F.split("text", "\n")).alias("nr", "t"))
+    spread = documents.repartition("document_id")  # texts pass a shuffle before they become words: a table can be a single file
+    lines = worked_out(spread, _rtl=rtl).select("document_id", "_rtl", F.posexplode(F.split("text", "\n")).alias("nr", "t"))
     words = lines.select("document_id", "nr", "_rtl", F.posexplode(F.filter(F.split("t", r"[ \t\n\r\x0B\f]+"), lambda w: w != "")).alias("at", "word"))
     start, size = F.col("at") * 1000.0, F.length("word")
     whole = F.struct(start.alias("x0"), (start + size).alias("x1"), F.col("word").alias("word"))
