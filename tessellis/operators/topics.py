@@ -1,16 +1,17 @@
 """A topic classifier, and similarity to the descriptions of indicators, on word and character n-grams.
 
 Both weigh a text by the grams of a small vocabulary (that of the examples). The examples are counted by joins and aggregations; a text
-of the corpus is then one product of its own grams with that matrix, batch by batch in Arrow, without any shuffle: as rows, three grams a
-character cost 93 s over the 10,000 documents that take a few seconds this way. No vocabulary of the corpus is built.
+of the corpus is then one product of its own grams with that matrix, batch by batch in Arrow, after one shuffle that spreads the texts: as rows, three
+grams a character cost 93 s over the 10,000 documents that take a few seconds this way. Grams are found by walking a tree of their letters from all
+places of many texts at once. No vocabulary of the corpus is built.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessellis.operators.segment import PARTS
+
 SEEDS = {
     "inflation": [
         "Inflation reached five percent over the year.", "Consumer prices rose again in March.", "The annual inflation of food prices slowed.",
@@ -159,51 +162,116 @@ def _weighed(examples: DataFrame, key: str) -> DataFrame:
     return raw.select(key, "kind", "gram", "idf", (F.col("_raw") / length).alias("w"))
 
 
-#: Pieces whose grams a task remembers.
-REMEMBERED = 100_000
+#: Texts and characters that are looked through at once; a longer text is alone, and its places are walked in parts of so many.
+TEXTS, CHARACTERS = 64, 1 << 18
+
+
+class _Tree:
+    """Strings by their letters: ``step`` leads from a node by the next letter, 0 being no node (and the root, to which nothing leads)."""
+
+    def __init__(self, strings: list[str], ids: list[int], letters: np.ndarray) -> None:
+        nodes = {"": 0}
+        for s in strings:
+            for n in range(1, len(s) + 1):
+                nodes.setdefault(s[:n], len(nodes))
+        self.step = np.zeros((len(nodes), int(letters.max(initial=0)) + 1), np.int32)
+        for s, node in nodes.items():
+            if s:
+                self.step[nodes[s[:-1]], letters[ord(s[-1])]] = node
+        self.id = np.full(len(nodes), -1)
+        self.id[[nodes[s] for s in strings]] = ids
+
+    def walk(self, text: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, places, ids) of what begins at the places ``at`` of ``text``, by length; the id is -1 where only something longer is known."""
+        node, length = np.zeros(len(at), np.int32), 0
+        while len(at):
+            node = self.step[node, text[at + length]]
+            at, node, length = at[node > 0], node[node > 0], length + 1
+            yield length, at, self.id[node]
+
+
+class _Grams:
+    """The known grams of texts, found in many texts at once."""
+
+    def __init__(self, known: dict[str, dict[str, int]]) -> None:
+        every = "".join(map(chr, range(sys.maxunicode + 1)))
+        self.word = np.zeros(len(every), bool)
+        self.word[[ord(c) for c in re.findall(r"\w", every)]] = True
+        used = sorted(set("".join([*known["word"], *known["character"]])) - {" "})
+        self.letters = np.zeros(len(every), np.uint16)  # 0: in no gram
+        self.letters[[ord(c) for c in used]] = np.arange(2, len(used) + 2)
+        self.letters[[k for k, c in enumerate(every) if c.isspace()]] = 1
+        self.size = sum(map(len, known.values()))
+        pairs = {tuple(g.split(" ")): k for g, k in known["word"].items() if " " in g}
+        names = sorted({g for g in known["word"] if " " not in g}.union(*pairs))
+        number = {g: k for k, g in enumerate(names)}
+        self.characters = _Tree(list(known["character"]), list(known["character"].values()), self.letters)
+        self.names = _Tree(names, list(range(len(names))), self.letters)
+        self.single = np.array([known["word"].get(g, -1) for g in names], int)
+        keyed = sorted((number[a] * len(names) + number[b], k) for (a, b), k in pairs.items())
+        self.pair, self.pair_id = np.array([x for x, _ in keyed], int), np.array([k for _, k in keyed], int)
+
+    def counts(self, lows: list[str]) -> np.ndarray:
+        """How often each text, in lower case, has each known gram."""
+        whole = "".join(f" {low} " for low in lows)  # two blanks part texts; no known gram has two, or one inside a piece
+        points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        text, word = np.append(self.letters[points], np.uint16(0)), self.word[points]
+        ends = np.cumsum([len(low) + 2 for low in lows])
+        found = []
+
+        def keep(at: np.ndarray, ids: np.ndarray) -> None:
+            found.append(np.searchsorted(ends, at[ids >= 0], side="right") * self.size + ids[ids >= 0])
+
+        for first in range(0, len(points), CHARACTERS):
+            for _, at, ids in self.characters.walk(text, np.arange(first, min(first + CHARACTERS, len(points)))):
+                keep(at, ids)
+        edges = np.flatnonzero(np.diff(word))  # texts begin and end with a blank
+        starts, lengths = edges[::2] + 1, edges[1::2] - edges[::2]
+        starts, lengths = starts[lengths > 1], lengths[lengths > 1]
+        name = np.full(len(starts), -1)
+        for length, at, ids in self.names.walk(text, starts):
+            here = np.searchsorted(starts, at)
+            name[here[lengths[here] == length]] = ids[lengths[here] == length]
+        keep(starts[name >= 0], self.single[name[name >= 0]])
+        if len(self.pair):
+            both = np.flatnonzero((name[:-1] >= 0) & (name[1:] >= 0))
+            both = both[np.searchsorted(ends, starts[both], side="right") == np.searchsorted(ends, starts[both + 1], side="right")]
+            asked = name[both] * len(self.single) + name[both + 1]
+            place = np.minimum(np.searchsorted(self.pair, asked), len(self.pair) - 1)
+            keep(starts[both], np.where(self.pair[place] == asked, self.pair_id[place], -1))
+        return np.bincount(np.concatenate(found), minlength=len(lows) * self.size).reshape(len(lows), self.size)
+
+
+def _together(lows: list[str]) -> Iterator[list[str]]:
+    """``lows`` in order, as many at once as are looked through together."""
+    some, size = [], 0
+    for low in lows:
+        if some and (len(some) == TEXTS or size + len(low) > CHARACTERS):
+            yield some
+            some, size = [], 0
+        some.append(low)
+        size += len(low)
+    if some:
+        yield some
 
 
 def _products(rows: DataFrame, keys: list[str], weights: DataFrame, size: int) -> DataFrame:
     """(keys, kinds, products): the products of each text with ``size`` weights a gram, each kind of grams of length one.
 
-    ``weights`` (kind, gram, idf, weights) is no longer than the two limits above together, hence read by every task.
+    ``weights`` (kind, gram, idf, weights) is no longer than the two limits above together, hence read by every task. A table can be a single
+    file of one row group, that is one task, so texts pass a shuffle before their grams are counted.
     """
     known = weights.select("kind", "gram", "idf", "weights").collect()  # at most WORD_GRAMS + CHARACTER_GRAMS rows
-    place = {kind: {r["gram"]: k for k, r in enumerate(known) if r["kind"] == kind} for kind in ("word", "character")}
+    grams = _Grams({kind: {r["gram"]: k for k, r in enumerate(known) if r["kind"] == kind} for kind in ("word", "character")})
     of_word = np.array([r["kind"] == "word" for r in known], dtype=bool)
     idf, matrix = np.array([r["idf"] for r in known], dtype=float), np.array([r["weights"] for r in known], dtype=float).reshape(len(known), size)
-    shared = rows.sparkSession.sparkContext.broadcast((place, of_word, idf, matrix))
+    shared = rows.sparkSession.sparkContext.broadcast((grams, of_word, idf, matrix))
 
     @F.pandas_udf("kinds int, products array<double>")
     def product(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        place, of_word, idf, matrix = shared.value
-        heads = {g.split(" ")[0] for g in place["word"] if " " in g}
-        three, four, five = ({g: k for g, k in place["character"].items() if len(g) == n} for n in (3, 4, 5))
-        memory: dict[str, list[int]] = {}
-
-        def hits(piece: str) -> list[int]:
-            """Known grams of a piece; a longer one is known only if the shorter ones that begin it are."""
-            if piece not in memory:
-                if len(memory) >= REMEMBERED:
-                    memory.clear()
-                padded, found = f" {piece} ", []
-                for i in range(len(padded) - 2):
-                    if (k := three.get(padded[i : i + 3])) is not None:
-                        found.append(k)
-                        if (k := four.get(padded[i : i + 4])) is not None:
-                            found.append(k)
-                            if (k := five.get(padded[i : i + 5])) is not None:
-                                found.append(k)
-                memory[piece] = found
-            return memory[piece]
-
-        def scored(text: str) -> tuple[int, list[float]]:
-            low = text.lower()
-            counts = np.bincount([k for piece in low.split() for k in hits(piece)], minlength=len(idf)) if len(idf) else np.zeros(0)
-            words = words_of(low)
-            pairs = (f"{a} {b}" for a, b in zip(words, words[1:]) if a in heads)
-            for at, n in Counter(place["word"][g] for g in chain(words, pairs) if g in place["word"]).items():
-                counts[at] += n
+        grams, of_word, idf, matrix = shared.value
+
+        def scored(counts: np.ndarray) -> tuple[int, list[float]]:
             kinds, total = 0, np.zeros(size)
             for kind in (of_word, ~of_word):
                 at = np.flatnonzero((counts > 0) & kind)
@@ -213,9 +281,12 @@ def _products(rows: DataFrame, keys: list[str], weights: DataFrame, size: int) -
             return kinds, total.tolist()
 
         for batch in batches:
-            yield pd.DataFrame([scored(t or "") for t in batch], columns=["kinds", "products"])
+            lows = [(t or "").lower() for t in batch]
+            yield pd.DataFrame([scored(c) for some in _together(lows) for c in grams.counts(some)], columns=["kinds", "products"])
 
-    return rows.select(*keys, product(F.col("text")).alias("_x")).select(*keys, "_x.*")
+    parts = PARTS * rows.sparkSession.sparkContext.defaultParallelism
+    spread = rows.select(*keys, F.col("text").alias("_text")).repartition(parts, *keys, "_text")
+    return spread.select(*keys, product(F.col("_text")).alias("_x")).select(*keys, "_x.*")
 
 
 def train(examples: DataFrame, c: float = 4.0) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessellis.operators import topics
 from tessellis.plans import catalog, text_catalog  # noqa: F401
@@ -90,3 +91,26 @@ def test_topics_of_held_out_sentences(spark, tmp_path):
 def test_every_document_has_topics(run):
     got = run("topic_classifier").collect()
     assert sorted((r.doc_id, r["rank"]) for r in got) == [(k, n) for k in TEXTS for n in range(3)]
+
+
+def test_texts_of_one_task_are_spread(spark):
+    rows = spark.createDataFrame([(k, f"the trade deficit of year {k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    scores = topics.similarity(rows, "doc_id", topics.descriptions(spark))
+    assert rows.rdd.getNumPartitions() == 1 and scores.select("doc_id", F.spark_partition_id().alias("part")).agg(F.count_distinct("part")).first()[0] > 4
+
+
+ODD = [
+    "", " ", "a", "the", "the the the", "Le taux -　a\x1c\x1dtaux\xa0DE la​banque", "İstanbul\n\n\t rate_1 of \U0001d538\U0001d539 rates", "taux", "de la", "x de",
+    "l'or, l'or; l'OR", "الدين العمومي", "la " * 300, "banque" * 100, " de  la  banque  de  la",
+]
+
+
+@pytest.mark.parametrize("texts, characters", [(64, 1 << 18), (3, 17), (1, 1)])
+def test_counts_of_grams_by_a_slow_walk(monkeypatch, texts, characters):
+    monkeypatch.setattr(topics, "TEXTS", texts)
+    monkeypatch.setattr(topics, "CHARACTERS", characters)
+    examples = plain_grams("Le taux de la banque: l'or de 1 rate_1 الدين العمومي the \U0001d538\U0001d539 of the rates")
+    names = [(kind, g) for kind in ("word", "character") for g in sorted(examples[kind])]
+    grams = topics._Grams({kind: {g: k for k, (x, g) in enumerate(names) if x == kind} for kind in ("word", "character")})
+    got = [c.tolist() for some in topics._together([t.lower() for t in ODD]) for c in grams.counts(some)]
+    assert got == [[plain_grams(t)[kind][g] for kind, g in names] for t in ODD]
