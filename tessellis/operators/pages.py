@@ -14,10 +14,13 @@ LEAP, TOUCH, RTL_SHARE = 2.5, 0.8, 0.35
 
 def overlapped(left: Column, right: Column) -> Column:
     """Two pieces of one word, printed over one another: the one that holds the other, else joined at the longest end of the left that begins the right; any case."""
-    low, high = F.lower(left), F.lower(right)
     most = F.least(F.length(left), F.length(right))
-    sizes = F.filter(F.sequence(F.lit(0), most), lambda n: F.when(n == 0, True).otherwise(F.substring(low, F.length(left) - n + 1, n) == F.substring(high, F.lit(1), n)))
-    return F.when(F.contains(high, low), right).when(F.contains(low, high), left).otherwise(F.concat(left, F.substring(right, F.array_max(sizes) + 1, F.length(right))))
+
+    def joined(x: Column) -> Column:
+        sizes = F.filter(F.sequence(F.lit(0), most), lambda n: F.when(n == 0, True).otherwise(F.substring(x["low"], F.length(left) - n + 1, n) == F.substring(x["high"], F.lit(1), n)))
+        return F.when(F.contains(x["high"], x["low"]), right).when(F.contains(x["low"], x["high"]), left).otherwise(F.concat(left, F.substring(right, F.array_max(sizes) + 1, F.length(right))))
+
+    return F.get(F.transform(F.array(F.struct(F.lower(left).alias("low"), F.lower(right).alias("high"))), joined), 0)  # lower case is worked out once
 
 
 def page_text(words: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
@@ -27,37 +30,41 @@ def page_text(words: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
     over 2.5. Where over a third of a page's letters are Arabic its lines run from right to left. Words that overlap are pieces of one
     word, words that touch belong together, and a line of nothing but a number of up to three digits is a page number. A page is one group.
     """
-    rows = words.filter(F.trim("word") != "")
+    page, word = W.partitionBy("document_id", "page"), F.struct("x0", "x1", F.trim("word").alias("word"))
+    # words of one height are one row before they pass the shuffle and the windows: where y leaps is told by the heights alone
+    rows = words.filter(F.trim("word") != "").groupBy("document_id", "page", "y").agg(F.collect_list(word).alias("_w"))
     if boxes is not None:
-        middle = (F.col("x0") + F.col("x1")) / 2
         table = boxes.select("document_id", "page", F.struct("x0", "x1", "top", "bottom").alias("_box"))
         held = table.groupBy("document_id", "page").agg(F.collect_list("_box").alias("_boxes"))
-        inside = F.exists("_boxes", lambda b: (middle >= b["x0"]) & (middle <= b["x1"]) & (F.col("y") >= b["top"]) & (F.col("y") <= b["bottom"]))
-        rows = rows.join(held, ["document_id", "page"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")
-    page = W.partitionBy("document_id", "page")
-    leap = F.coalesce((F.col("y") - F.lag("y").over(page.orderBy("y", "x0")) > LEAP).cast("int"), F.lit(0))
-    rows = rows.withColumn("_leap", leap).withColumn("line", F.sum("_leap").over(page.orderBy("y", "x0").rowsBetween(W.unboundedPreceding, 0)))
-    lines = rows.groupBy("document_id", "page", "line").agg(F.collect_list(F.struct("x0", "x1", F.trim("word").alias("word"))).alias("_w"))
+        rows = rows.join(held, ["document_id", "page"], "left")
+        level = F.coalesce(F.filter("_boxes", lambda b: (F.col("y") >= b["top"]) & (F.col("y") <= b["bottom"])), F.array())
+        rows = worked_out(rows, _boxes=level)
+        inside = lambda x: F.exists("_boxes", lambda b: ((x["x0"] + x["x1"]) / 2 >= b["x0"]) & ((x["x0"] + x["x1"]) / 2 <= b["x1"]))
+        rows = rows.withColumn("_w", F.when(F.size("_boxes") == 0, F.col("_w")).otherwise(F.filter("_w", lambda x: ~F.coalesce(inside(x), F.lit(False))))).drop("_boxes").filter(F.size("_w") > 0)
+    leap = F.coalesce((F.col("y") - F.lag("y").over(page.orderBy("y")) > LEAP).cast("int"), F.lit(0))
+    rows = rows.withColumn("_leap", leap).withColumn("line", F.sum("_leap").over(page.orderBy("y").rowsBetween(W.unboundedPreceding, 0)))
+    lines = rows.groupBy("document_id", "page", "line").agg(F.flatten(F.collect_list("_w")).alias("_w"))
     # letters are counted a line at a time, so that only lines pass the window over their page
-    joined = F.array_join(F.transform("_w", lambda x: x["word"]), " ")
-    letters = lambda p: F.sum(F.regexp_count(joined, F.lit(p))).over(page)
-    lines = lines.withColumn("_rtl", letters("[؀-ۿ]") > RTL_SHARE * letters(r"\p{L}"))
+    lines = worked_out(lines, _joined=F.array_join("_w.word", " "))
+    letters = lambda p: F.sum(F.regexp_count("_joined", F.lit(p))).over(page)
+    lines = lines.withColumn("_rtl", letters("[؀-ۿ]") > RTL_SHARE * letters(r"\p{L}")).drop("_joined")
     placed = lambda at, end: F.transform("_w", lambda x: F.struct(at(x).alias("at"), (-end(x)).alias("_long"), end(x).alias("end"), x["word"].alias("word")))
     lines = lines.withColumn("_w", F.sort_array(F.when(F.col("_rtl"), placed(lambda x: -x["x1"], lambda x: -x["x0"])).otherwise(placed(lambda x: x["x0"], lambda x: x["x1"]))))
-    kind = "struct<done:array<string>,word:string,at:double,end:double>"
-    nothing = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("end")).cast(kind)
+    kind = "struct<done:string,word:string,at:double,end:double>"
+    nothing = F.struct(F.lit(None).cast("string").alias("done"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("at"), F.lit(None).cast("double").alias("end")).cast(kind)
 
     def step(so_far, x):
         over = x["at"] < so_far["end"] - TOUCH
         grown = F.when(over, overlapped(so_far["word"], x["word"])).otherwise(F.concat(so_far["word"], x["word"]))
         near = x["at"] <= so_far["end"] + TOUCH
         first = so_far["word"].isNull()
-        done = F.when(first | near, so_far["done"]).otherwise(F.concat(so_far["done"], F.array(so_far["word"])))
+        done = F.when(first | near, so_far["done"]).otherwise(F.concat_ws(" ", so_far["done"], so_far["word"]))
         word = F.when(~first & near, grown).otherwise(x["word"])
         return F.struct(done.alias("done"), word.alias("word"), x["at"].cast("double").alias("at"), F.greatest(x["end"], F.coalesce(so_far["end"], x["end"])).cast("double").alias("end")).cast(kind)
 
-    text = F.aggregate("_w", nothing, step, lambda s: F.array_join(F.concat(s["done"], F.array(s["word"])), " "))
-    return lines.select("document_id", "page", "line", text.alias("text")).filter(~F.col("text").rlike(r"^\d{1,3}$"))
+    text = F.aggregate("_w", nothing, step, lambda s: F.concat_ws(" ", s["done"], s["word"]))
+    told = worked_out(lines.select("document_id", "page", "line", "_w"), text=text)  # else the filter would put every line together once more
+    return told.select("document_id", "page", "line", "text").filter(~F.col("text").rlike(r"^\d{1,3}$"))
 
 
 def heading_rank(line: Column) -> Column:

@@ -33,7 +33,7 @@ def document_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = F.struct(start.alias("x0"), (start + cut + 1).alias("x1"), F.substring("word", F.lit(1), cut + 1).alias("word"))
     right = F.struct((start + cut - 1.0).alias("x0"), (start + size).alias("x1"), F.substring("word", cut, size).alias("word"))
     distinct = F.size(F.array_distinct(F.split(F.lower("word"), ""))) == size  # no two signs alike: one overlap only
-    layered = (F.pmod("at", F.lit(3)) == 1) & (size >= 4) & distinct & ~F.col("_rtl")
+    layered = F.when(~F.col("_rtl") & (F.pmod("at", F.lit(3)) == 1) & (size >= 4), distinct).otherwise(False)
     cell = F.struct(F.lit(-500.0).alias("x0"), F.lit(-400.0).alias("x1"), F.lit("12,5").alias("word"))
     parts = F.concat(F.when(layered, F.array(left, right)).otherwise(F.array(whole)), F.when(F.col("at") == 0, F.array(cell)).otherwise(F.array().cast("array<struct<x0:double,x1:double,word:string>>")))
     placed = words.select("document_id", F.lit(1).alias("page"), F.col("nr").cast("double").alias("_nr"), "_rtl", F.explode(parts).alias("p")).select("document_id", "page", (F.col("_nr") * 12).alias("y"), "_rtl", "p.*")
